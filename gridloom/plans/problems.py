@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import normalize as N
-from gridloom.operators import features, percentiles, skew, trailing
+from gridloom.operators import features, outliers, percentiles, skew, trailing
 from gridloom.plans.ticks import clean_ticks, different_ticks, table, with_day
 
 PERIODS = (7, 30)
@@ -62,8 +62,19 @@ def p4_percentiles_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles.percentiles_of_runs(percentiles.combine_runs(*states), QUANTILES).withColumnRenamed("grp", "resource_type")
 
 
+def p5_implausible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every implausible reading with its reason."""
+    ticks = clean_ticks(spark, sf_dir).filter(F.col("consumer") != "")
+    return outliers.implausible_rows(ticks, "consumer", "time", "event_id", "id", ["units_drawn", "cost"])
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row of utility_ticks with at least one implausible reading."""
+    return p5_implausible(spark, sf_dir).select("id").distinct()
+
+
 QUERIES = {
-    f.__name__: f for f in (p1_trailing_totals, p2_features, p2_features_long, p3_found, p3_key_profiles, p4_percentiles, p4_percentiles_combined)
+    f.__name__: f for f in (p1_trailing_totals, p2_features, p2_features_long, p3_found, p3_key_profiles, p4_percentiles, p4_percentiles_combined, p5_found, p5_implausible)
 }
 
 _CLEAN = r"""
