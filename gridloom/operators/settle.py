@@ -15,6 +15,8 @@ No window spans more than a block of BLOCK arrivals of one consumer, however man
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,30 +27,34 @@ BLOCK = 200_000
 OK, REPLAY, DUPLICATE, QUARANTINED = "OK", "REPLAY", "DUPLICATE_EVENT", "QUARANTINED"
 
 
-def fold_steps(frame: pd.DataFrame) -> pd.DataFrame:
-    """Sequential fold of one group's steps (placed at their first row) and knots by arrival: the guard before each, and each knot's verdict."""
-    frame = frame.sort_values("id", kind="stable")
-    last: dict[str, int | None] = {}
-    accepted: set[str] = set()
-    before, verdicts = [], []
-    for c, knot, seq, event, resets, tail, top in zip(frame["consumer"], frame["knot"], frame["seq"], frame["event"], frame["resets"], frame["tail"], frame["top"]):
-        now = last.get(c)
-        before.append(now)
-        if not knot:
-            verdicts.append(None)
-            last[c] = int(tail) if resets else max(int(top), now) if now is not None else int(top)
-        elif seq > 0 and now is not None and seq <= now:
-            verdicts.append(REPLAY)
-        elif event in accepted:
-            verdicts.append(DUPLICATE)
-        else:
-            verdicts.append(OK)
-            accepted.add(event)
-            last[c] = int(seq)
-    out = frame[["consumer", "block", "part", "knot", "id"]].copy()
-    out["before"] = pd.array(before, dtype="Int64")
-    out["verdict"] = pd.array(verdicts, dtype="string")
-    return out
+def fold_steps(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sequential fold over rows sorted by fold group and arrival: the guard before each step (placed at its first row), each knot's verdict.
+
+    Kept between batches: of the current group, the consumers' guards and the accepted knots' events.
+    """
+    group, last, accepted = None, {}, set()
+    for frame in frames:
+        before, verdicts = [], []
+        for g, c, knot, seq, event, resets, tail, top in zip(*(frame[k].tolist() for k in ("fold", "consumer", "knot", "seq", "event", "resets", "tail", "top"))):
+            if g != group:
+                group, last, accepted = g, {}, set()
+            now = last.get(c)
+            before.append(now)
+            if not knot:
+                verdicts.append(None)
+                last[c] = int(tail) if resets else max(int(top), now) if now is not None else int(top)
+            elif seq > 0 and now is not None and seq <= now:
+                verdicts.append(REPLAY)
+            elif event in accepted:
+                verdicts.append(DUPLICATE)
+            else:
+                verdicts.append(OK)
+                accepted.add(event)
+                last[c] = int(seq)
+        out = frame[["consumer", "block", "part", "knot", "id"]].copy()
+        out["before"] = pd.array(before, dtype="Int64")
+        out["verdict"] = pd.array(verdicts, dtype="string")
+        yield out
 
 
 def settle(ticks: DataFrame, initial: DataFrame | None = None) -> DataFrame:
@@ -63,11 +69,11 @@ def settle(ticks: DataFrame, initial: DataFrame | None = None) -> DataFrame:
     for c in needed:
         bad = bad | F.col(c).isNull()
     event = F.coalesce(F.col("event_id"), F.concat(F.lit("\0"), F.col("id").cast("string")))
-    rows = ticks.select(F.col("id"), F.coalesce("consumer", F.lit("\0")).alias("consumer"), event.alias("event"), F.coalesce("meter_sequence", F.lit(0)).alias("seq"), bad.alias("bad"), F.floor(F.col("id") / BLOCK).alias("block"))
+    rows = ticks.select(F.col("id"), F.coalesce("consumer", F.lit("\0")).alias("consumer"), event.alias("event"), F.coalesce("meter_sequence", F.lit(0)).alias("seq"), bad.alias("bad"), F.expr(f"id div {BLOCK}").alias("block"))
     of_event = Window.partitionBy("event")
     good = rows.filter(~F.col("bad"))
     good = good.withColumn("copies", F.count(F.lit(1)).over(of_event)).withColumn("top_seq", F.max("seq").over(of_event))
-    good = good.withColumn("nth", F.row_number().over(of_event.orderBy("id"))).withColumn("homes", F.size(F.collect_set("consumer").over(of_event)))
+    good = good.withColumn("nth", F.row_number().over(of_event.orderBy("id"))).withColumn("homes", F.when(F.min("consumer").over(of_event) == F.max("consumer").over(of_event), 1).otherwise(2))
     good = good.withColumn("knot", (F.col("copies") > 1) & (F.col("top_seq") > 0))
     good = good.withColumn("early", F.when(~F.col("knot") & (F.col("nth") > 1), F.lit(DUPLICATE)))
     marked = written(good.select("id", "consumer", "event", "seq", "block", "knot", "early", "homes"), "marked")
@@ -96,7 +102,7 @@ def settle(ticks: DataFrame, initial: DataFrame | None = None) -> DataFrame:
     # a knot's deliveries at several consumers tie these together: they are folded as one group
     tied = knots.filter("homes > 1").select("consumer").distinct().withColumn("tied", F.lit("*"))
     grouped = sequence.join(tied, "consumer", "left").withColumn("fold", F.coalesce(F.col("tied"), F.concat(F.lit("c"), "consumer"))).drop("tied", "homes")
-    folded = grouped.groupBy("fold").applyInPandas(fold_steps, "consumer string, block bigint, part bigint, knot boolean, id bigint, before bigint, verdict string")
+    folded = grouped.repartition("fold").sortWithinPartitions("fold", "id").mapInPandas(fold_steps, "consumer string, block bigint, part bigint, knot boolean, id bigint, before bigint, verdict string")
     folded = written(folded, "guard")
     before = folded.filter(~F.col("knot")).select(*key, "before")
     run = Window.partitionBy("consumer", "block", "part", "segment").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
@@ -114,7 +120,7 @@ def running_balance(accepted: DataFrame, initial: int) -> DataFrame:
 
     Sums per block of arrivals first, so the windows hold a block's rows, or one row per block.
     """
-    rows = accepted.withColumn("block", F.floor(F.col("id") / BLOCK))
+    rows = accepted.withColumn("block", F.expr(f"id div {BLOCK}"))
     per = rows.groupBy("consumer", "block").agg(F.sum(F.col("cost").cast("decimal(38,0)")).alias("spent"))
     earlier = Window.partitionBy("consumer").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     per = per.select("consumer", "block", F.coalesce(F.sum("spent").over(earlier), F.lit(0)).alias("before"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.ranking import numbered
 from gridloom.schemas import INITIAL_ESCROW
 
 
@@ -51,9 +52,9 @@ def history(accepted: DataFrame, consumer: str, limit: int | None) -> DataFrame:
     rows = accepted.filter(F.col("consumer") == consumer)
     columns = ["id", "event_id", "operator", "resource_type", "units_drawn", "cost", "meter_sequence", "time"]
     if limit is not None:
-        rows = rows.select(*columns).orderBy(F.desc("id")).limit(limit)  # a top-k, no full sort
-    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("id")))
-    return rows.select(*columns, place.alias("place"))
+        rows = rows.select(*columns).orderBy(F.desc("id")).limit(limit)  # a top-k, no full sort; a page's rows are few
+        return rows.select("*", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("id"))).alias("place"))
+    return numbered(rows.select(*columns), F.desc("id"))
 
 
 def history_nested(state: DataFrame, recent: DataFrame) -> DataFrame:
@@ -75,11 +76,10 @@ def distribution(accepted: DataFrame) -> DataFrame:
 def leaderboard(state: DataFrame, as_text: bool) -> DataFrame:
     """Operators by earnings with their place: as text ('9' before '10000') or as numbers; ties by address.
 
-    A total order needs all operators' places, one row per operator; ranks come from a distributed sort with offsets
-    only where operators are too many for one task, which their number (one row each) does not reach here.
+    Places come from a distributed sort, see :func:`gridloom.operators.ranking.numbered`.
     """
     key = F.col("total_earned").cast("string") if as_text else F.col("total_earned")
-    return state.withColumn("place", F.row_number().over(Window.orderBy(key.desc(), F.col("address"))))
+    return numbered(state, key.desc(), F.col("address"))
 
 
 def grid_metrics(accepted: DataFrame, consumers: DataFrame, operators: DataFrame) -> DataFrame:

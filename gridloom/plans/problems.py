@@ -140,10 +140,9 @@ SELECT key_field, key_value FROM k WHERE key_value <> '' GROUP BY ALL HAVING cou
 
 def _percentile_sql(rows: str, group: str, quantiles: tuple[float, ...]) -> str:
     values = ", ".join(f"(CAST({q} AS DOUBLE))" for q in quantiles)
-    return f"""r AS (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY value) - 1 AS pos, count(*) OVER (PARTITION BY {group}) AS cnt FROM {rows} WHERE value IS NOT NULL),
-w AS (SELECT DISTINCT {group}, cnt, q, q * CAST(cnt - 1 AS DOUBLE) AS place FROM r, (VALUES {values}) v(q)),
-pct AS (SELECT {group}, cnt, q, CAST(l.value AS DOUBLE) + (CAST(h.value AS DOUBLE) - CAST(l.value AS DOUBLE)) * (place - floor(place)) AS value
-        FROM w JOIN r l USING ({group}, cnt) JOIN r h USING ({group}, cnt) WHERE l.pos = floor(place) AND h.pos = ceil(place))"""
+    return f"""r AS (SELECT {group}, list_sort(list(CAST(value AS DOUBLE))) AS vs, count(*) AS cnt FROM {rows} WHERE value IS NOT NULL GROUP BY {group}),
+w AS (SELECT *, q * CAST(cnt - 1 AS DOUBLE) AS place FROM r, (VALUES {values}) v(q)),
+pct AS (SELECT {group}, cnt, q, vs[CAST(floor(place) AS BIGINT) + 1] + (vs[CAST(ceil(place) AS BIGINT) + 1] - vs[CAST(floor(place) AS BIGINT) + 1]) * (place - floor(place)) AS value FROM w)"""
 
 
 _P3_SQL = f"""WITH {_CLEAN}, {_KEYS}, {_percentile_sql('k', 'key_field, key_value', (0.5, 0.9))},
