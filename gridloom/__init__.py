@@ -1,3 +1,10 @@
 """gridloom: metered-usage analytics and data-processing operators on PySpark."""
 
 __version__ = "0.1.0"
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with their code: executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
