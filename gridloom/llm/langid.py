@@ -239,11 +239,9 @@ def language_segments(docs: DataFrame, model: FrozenPPM, doc_id: str = "doc_id",
     Whole texts, one pass, no shuffle; long texts are split into sentences, so memory follows the longest text. NULL,
     blank and code-only texts have no segments; repeated ids give their own rows each; other columns are ignored.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = model  # a few MB, bounded by the samples; Spark broadcasts functions of that size
         for batch in batches:
             ids, texts, size = [], [], 0
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
