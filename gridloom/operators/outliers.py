@@ -7,8 +7,8 @@ Every source's readings are compared with its own behaviour:
 * Peaks over threshold: exceedances of a high threshold, declustered (neighbouring exceedances count once), are fitted
   with a generalized Pareto tail (shape 0, the limit for light tails; censored against contamination, the scale shrunk
   towards that of all sources), and the cutoff is where a source's tail has probability RISK.
-* A source of which at least BURST_SHARE of declustered residuals lie beyond BURST has bursts as its habit; its
-  threshold then is the median of these bursts, otherwise the 90 % point of all residuals.
+* A source with at least LEAST_BURSTS bursts (residuals of all of a tick's readings beyond BURST, declustered) that are at
+  least BURST_SHARE of its ticks has bursts as its habit; its threshold then is the median of these bursts, otherwise the 90 % point of all residuals.
 * Stuck: a run of equal readings much longer than the source's other runs, on a value it hardly has elsewhere.
 * Physical: a reading below zero.
 
@@ -32,6 +32,7 @@ BLOCK = 32  # consecutive positive readings that share a local level
 BINS = 16  # histogram bins per unit of log
 BURST = float(np.log(3.5))
 BURST_SHARE = 0.05
+LEAST_BURSTS = 3
 BULK_QUANTILE = 0.9
 TRIM = float(np.log(4.0))  # excesses beyond are set aside when the tail is fitted
 PRIOR = 10.0  # weight of all sources' scale, in exceedances
@@ -122,19 +123,27 @@ def _segments(t: pa.Table, piece: int, cut: bool, metrics: int) -> Iterator[pa.R
     ticks = np.bincount(seg)
     yield batch(TICKS, src[seg_start], chunk[seg_start], n=ticks)
 
+    # a burst raises all of a tick's readings together, a fault of the meter often only one
+    taken: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+    positive, high_ones = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
     for metric in range(metrics):
         column = t.column(f"m{metric}").combine_chunks()
         there = column.is_valid().to_numpy(zero_copy_only=False)[at]
         v = column.fill_null(0).to_numpy().astype(np.float64)[at]
-
         pos = np.flatnonzero(there & (v > 0))
         r = residuals(v[pos], seg[pos], (np.maximum(ts1[pos], 0) // 3600) % 24)
+        positive[pos] += 1
+        high_ones[pos[r > BURST]] += 1
+        taken.append((there, v, pos, r))
+    joint = high_ones == positive
+
+    for metric, (there, v, pos, r) in enumerate(taken):
         high = r > BURST
         again = np.r_[False, high[:-1] & (seg[pos][1:] == seg[pos][:-1])] & high if len(pos) else high
         bins = np.clip(np.floor(r * BINS), -1, 60 * BINS).astype(np.int64)
-        key, count = np.unique(seg[pos][~again] * 4096 + bins[~again] + 1, return_counts=True)
-        s = seg_start[key // 4096]
-        yield batch(HISTOGRAM, src[s], chunk[s], metric=np.full(len(key), metric), bin=key % 4096 - 1, n=count)
+        key, count = np.unique((seg[pos] * 4096 + bins + 1)[~again] * 2 + (high & joint[pos])[~again], return_counts=True)
+        s = seg_start[key // 8192]
+        yield batch(HISTOGRAM, src[s], chunk[s], metric=np.full(len(key), metric), bin=key // 2 % 4096 - 1, n=count, run=key % 2)
 
         flagged = np.full(len(at), np.nan)
         flagged[pos] = np.where(r > np.log(LEAST_FACTOR), r, np.nan)
@@ -251,13 +260,14 @@ def scan_sources(df: DataFrame, source: str, time: str, event: str, row: str, me
 
 def tail_cutoffs(scan: DataFrame) -> DataFrame:
     """(source, metric, cut): the log residual beyond which a reading is implausible for the source."""
-    h = scan.filter(F.col("kind") == HISTOGRAM).groupBy("source", "metric", "bin").agg(F.sum("n").alias("n"))
+    h = scan.filter(F.col("kind") == HISTOGRAM).groupBy("source", "metric", "bin").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("run")).alias("joint"))
     of = Window.partitionBy("source", "metric")
     x = (F.col("bin") + 0.5) / BINS
-    burst = F.sum(F.when(x > BURST, F.col("n")).otherwise(0)).over(of)
-    h = h.select("source", "metric", "n", x.alias("x"), F.sum("n").over(of).alias("total"), burst.alias("burst"), F.sum("n").over(of.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
-    h = h.withColumn("bursty", F.col("burst") >= BURST_SHARE * F.col("total"))
-    rank = F.when(F.col("bursty"), F.col("total") - F.col("burst") / 2).otherwise(BULK_QUANTILE * F.col("total"))
+    burst = F.sum("joint").over(of)
+    alone = F.sum(F.when(x > BURST, F.col("n") - F.col("joint")).otherwise(0)).over(of)
+    h = h.select("source", "metric", "n", x.alias("x"), F.sum("n").over(of).alias("total"), burst.alias("burst"), alone.alias("alone"), F.sum("n").over(of.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
+    h = h.withColumn("bursty", (F.col("burst") >= BURST_SHARE * F.col("total")) & (F.col("burst") >= LEAST_BURSTS))
+    rank = F.when(F.col("bursty"), F.col("total") - F.col("alone") - F.col("burst") / 2).otherwise(BULK_QUANTILE * F.col("total"))
     h = h.withColumn("u", F.min(F.when(F.col("upto") >= rank, F.greatest("x", F.lit(0.0)))).over(of))
     y = F.col("x") - F.col("u")
     fit = (y > 0) & (y < TRIM)
