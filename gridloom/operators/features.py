@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A group of entity and type with more than rows / HEAVY_PARTS rows is spread; there are fewer than HEAVY_PARTS of them.
-HEAVY_PARTS = 200
-SALTS = 64
+#: A group of entity and type with more than max(SALT_ROWS, rows / HEAVY_PARTS) rows is spread, so that no salt holds
+#: many more; there are fewer than HEAVY_PARTS such groups, which bounds what is broadcast.
+SALT_ROWS = 50_000
+HEAVY_PARTS = 100_000
 #: The complete type list is part of every row; beyond this many types use the long layout.
 MAX_TYPES = 20_000
 
@@ -15,10 +16,9 @@ MAX_TYPES = 20_000
 def type_statistics(df: DataFrame, entity: str, kind: str, time: str, value: str, event: str | None = None, order: str | None = None) -> DataFrame:
     """(entity, kind, n, last, total) by two-stage salted aggregation.
 
-    Heavy groups of entity and kind (more than a HEAVY_PARTS-th of all rows, so fewer than HEAVY_PARTS groups: the only
-    thing broadcast) are spread over SALTS salts. Rows meet once, on entity, kind and salt; there repeated deliveries of
-    an ``event`` count once (the one with the smallest ``order``), and partial statistics are formed; the second stage
-    merges the partial statistics, which are at most SALTS rows for a heavy group.
+    Heavy groups of entity and kind (the only thing broadcast; fewer than HEAVY_PARTS) are spread over as many salts as
+    keep each near SALT_ROWS rows. Rows meet once, on entity, kind and salt; there repeated deliveries of an ``event`` count
+    once (the one with the smallest ``order``), and partial statistics are formed; the second stage merges these.
 
     The salt is drawn from the event, so deliveries of one event meet. NULL entity or kind is a group of its own; NULL
     times and values count as rows only; ``total`` is DECIMAL(38,0), 0 where no value is readable; an empty table gives no rows.
@@ -26,8 +26,8 @@ def type_statistics(df: DataFrame, entity: str, kind: str, time: str, value: str
     e = F.coalesce(F.col(event).cast("string"), F.concat(F.lit("\0"), F.col(order).cast("string"))) if event else F.monotonically_increasing_id()
     rows = df.select(F.col(entity).alias("entity"), F.col(kind).alias("kind"), F.col(time).cast("bigint").alias("time"), F.col(value).cast("bigint").alias("value"), e.alias("event"), *([F.col(order).alias("ord")] if event else []))
     groups = rows.groupBy("entity", "kind").agg(F.count(F.lit(1)).alias("n"))
-    least = rows.count() // HEAVY_PARTS
-    heavy = groups.filter(F.col("n") > max(least, 1000)).select("entity", "kind", F.lit(SALTS).alias("salts"))
+    most = max(SALT_ROWS, rows.count() // HEAVY_PARTS)
+    heavy = groups.filter(F.col("n") > most).select("entity", "kind", F.ceil(F.col("n") / most).alias("salts"))
     same = F.col("r.entity").eqNullSafe(F.col("h.entity")) & F.col("r.kind").eqNullSafe(F.col("h.kind"))
     rows = rows.alias("r").join(F.broadcast(heavy.alias("h")), same, "left").select("r.*", F.coalesce(F.pmod(F.xxhash64("r.event"), F.col("h.salts")), F.lit(0)).cast("int").alias("salt"))
     if event:

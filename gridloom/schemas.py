@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Fixed values of the wire format and the ledger.
 TOPIC = "util_tick"
 INITIAL_ESCROW = 10_000_000
 PAGE_LIMIT = 200

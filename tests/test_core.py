@@ -18,7 +18,8 @@ def test_first_deliveries(spark):
 
 
 @pytest.mark.parametrize("hot", [0, 3000])
-def test_features(spark, hot):
+def test_features(spark, monkeypatch, hot):
+    monkeypatch.setattr(features, "SALT_ROWS", 500)
     rng = np.random.default_rng(2)
     rows = [("hot", "K0", int(rng.integers(1, 10**6)), 2**62, f"h{k}", k) for k in range(hot)]
     for k in range(400):
