@@ -20,7 +20,11 @@ def validate(requests: DataFrame, order: str = "request_id", received: str = "re
     that is null counts as 0. ``status`` is NULL for requests that go on to settlement.
     """
     names = ["consumer", "operator", "units_drawn", "meter_sequence", "cost", "timestamp", "event_id", "resource_type"]
-    r = requests.select(F.col(order).alias("id"), F.unix_micros(F.col(received).cast("timestamp")).alias("us"), F.try_parse_json(body).alias("v"))
+    stamp = F.col(received)
+    if dict(requests.dtypes)[received] == "timestamp_ntz":  # taken as UTC, whatever the session's time zone
+        stamp = F.concat(stamp.cast("string"), F.lit("+00:00")).cast("timestamp")
+    us = F.unix_micros(stamp.cast("timestamp"))
+    r = requests.select(F.col(order).alias("id"), us.alias("us"), F.try_parse_json(body).alias("v"))
     r = r.select("id", "us", (S.kind(F.col("v")) == "OBJECT").alias("object"), *(S.field(F.col("v"), f"$.{n}").alias(f"v_{n}") for n in names))
     get = lambda n: F.col(f"v_{n}")
     absent = lambda x, default: F.when(x.isNull(), default)
