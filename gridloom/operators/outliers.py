@@ -130,14 +130,22 @@ def _segments(t: pa.Table, piece: int, cut: bool, metrics: int) -> Iterator[pa.R
         column = t.column(f"m{metric}").combine_chunks()
         there = column.is_valid().to_numpy(zero_copy_only=False)[at]
         v = column.fill_null(0).to_numpy().astype(np.float64)[at]
-        pos = np.flatnonzero(there & (v > 0))
+        on = np.flatnonzero(there & (ts1 > 0))
+        change = np.r_[True, (seg[on][1:] != seg[on][:-1]) | (v[on][1:] != v[on][:-1])][: len(on)]
+        start = np.flatnonzero(change)
+        length = np.diff(np.r_[start, len(on)])
+        # readings that may be stuck say nothing about levels, unless most of the source's readings are like that
+        dull = np.zeros(len(at), bool)
+        dull[on] = (length >= STUCK_LENGTH)[np.cumsum(change) - 1] if len(on) else False
+        usual = np.bincount(seg, dull, minlength=len(ticks)) * 2 > ticks
+        pos = np.flatnonzero(there & (v > 0) & (~dull | usual[seg]))
         r = residuals(v[pos], seg[pos], (np.maximum(ts1[pos], 0) // 3600) % 24)
         positive[pos] += 1
         high_ones[pos[r > BURST]] += 1
-        taken.append((there, v, pos, r))
+        taken.append((there, v, pos, r, on, change, start, length))
     joint = high_ones == positive
 
-    for metric, (there, v, pos, r) in enumerate(taken):
+    for metric, (there, v, pos, r, on, change, start, length) in enumerate(taken):
         high = r > BURST
         again = np.r_[False, high[:-1] & (seg[pos][1:] == seg[pos][:-1])] & high if len(pos) else high
         bins = np.clip(np.floor(r * BINS), -1, 60 * BINS).astype(np.int64)
@@ -151,12 +159,8 @@ def _segments(t: pa.Table, piece: int, cut: bool, metrics: int) -> Iterator[pa.R
         rows = np.flatnonzero(~np.isnan(flagged[owner]))
         yield batch(CANDIDATE, src[rows], chunk[rows], metric=np.full(len(rows), metric), id=ids[rows], r=flagged[owner[rows]])
 
-        on = np.flatnonzero(there & (ts1 > 0))
         if not len(on):
             continue
-        change = np.r_[True, (seg[on][1:] != seg[on][:-1]) | (v[on][1:] != v[on][:-1])]
-        start = np.flatnonzero(change)
-        length = np.diff(np.r_[start, len(on)])
         run_seg, run_value = seg[on][start], v[on][start]
         head = np.r_[True, run_seg[1:] != run_seg[:-1]]
         tail = np.r_[run_seg[1:] != run_seg[:-1], True]
