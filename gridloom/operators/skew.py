@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.operators.percentiles import group_percentiles
 from gridloom.shared import written
 
+BANDS = 64
+
 
 def value_frequencies(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """(key_field, key_value, value, n): how often each key has each value.
@@ -37,19 +38,48 @@ def key_counts(frequencies: DataFrame) -> DataFrame:
     )
 
 
+def _band(value: Column) -> Column:
+    """An order-preserving coarse code of a number: BANDS to an octave, so a key has a bounded number of bands."""
+    size = 1 + F.floor(F.log2(F.abs(value.cast("double"))) * BANDS)
+    return F.when(value == 0, F.lit(0)).otherwise(F.signum(value.cast("double")) * size).cast("int")
+
+
+def weighted_percentiles(frequencies: DataFrame, quantiles: Sequence[float]) -> DataFrame:
+    """(key_field, key_value, q, value): exact percentiles of the weighted values, interpolated between neighbours.
+
+    First the counts per band of values (decomposable; at most some thousand bands per key) give each band's offset and so
+    the bands that hold the wanted positions; only these bands' values are then put in order, per key and band. So a hot
+    key is never sorted in one task. Keys without values have no rows.
+    """
+    keys = ["key_field", "key_value"]
+    f = frequencies.filter(F.col("value").isNotNull()).select(*(F.coalesce(k, F.lit("\0null")).alias(k) for k in keys), "value", "n", _band(F.col("value")).alias("band"))
+    of = Window.partitionBy(*keys)
+    bands = f.groupBy(*keys, "band").agg(F.sum("n").alias("here"))
+    bands = bands.select("*", F.sum("here").over(of).alias("total"), (F.sum("here").over(of.orderBy("band").rowsBetween(Window.unboundedPreceding, 0)) - F.col("here")).alias("before"))
+    wanted = bands.withColumn("q", F.explode(F.array(*(F.lit(float(q)) for q in quantiles)))).withColumn("at", F.col("q") * (F.col("total") - 1).cast("double"))
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.floor("at").cast("bigint").alias("pos")), F.struct(F.lit(1).alias("side"), F.ceil("at").cast("bigint").alias("pos"))))
+    wanted = wanted.withColumn("s", sides).select(*keys, "band", "before", "here", "q", "at", "s.side", "s.pos").filter((F.col("pos") >= F.col("before")) & (F.col("pos") < F.col("before") + F.col("here")))
+    inside = f.join(wanted.select(*keys, "band", "before").distinct(), [*keys, "band"])
+    upto = F.sum("n").over(Window.partitionBy(*keys, "band").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    inside = inside.select(*keys, "band", "value", "n", (F.col("before") + upto).alias("upto"))
+    hit = inside.join(wanted.drop("before", "here"), [*keys, "band"]).filter((F.col("pos") < F.col("upto")) & (F.col("pos") >= F.col("upto") - F.col("n")))
+    both = hit.groupBy(*keys, "q", "at").agg(F.max(F.when(F.col("side") == 0, F.col("value"))).alias("lo"), F.max(F.when(F.col("side") == 1, F.col("value"))).alias("hi"))
+    low, high = F.col("lo").cast("double"), F.col("hi").cast("double")
+    return both.select("key_field", F.when(F.col("key_value") != "\0null", F.col("key_value")).alias("key_value"), "q", (low + (high - low) * (F.col("at") - F.floor("at"))).alias("value"))
+
+
 def key_profiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: Sequence[float] = (0.5, 0.9)) -> DataFrame:
     """Per key: rows, exact distinct count, mode and exact percentiles of ``value``, however the rows are spread.
 
-    Percentiles come from the weighted values by a distributed sort (a hot key may have more distinct values than one
-    task should hold). NULL keys are left out of the percentiles' join only if they have no value. Result columns: those
-    of :func:`key_counts` and p<100q> for each quantile (NULL for a key without values).
+    Result columns: those of :func:`key_counts` and p<100q> for each quantile (NULL for a key without values).
     """
     f = written(value_frequencies(df, keys, value), "frequencies")
-    group = F.to_json(F.struct("key_field", "key_value"))
-    p = group_percentiles(f.select(group.alias("g"), F.col("value"), F.col("n")), "g", ["value"], quantiles, weight="n")
+    p = weighted_percentiles(f, quantiles)
     names = {float(q): f"p{round(q * 100)}" for q in quantiles}
-    wide = p.groupBy("grp").agg(*(F.max(F.when(F.col("q") == q, F.col("value"))).alias(name) for q, name in names.items()))
-    return key_counts(f).withColumn("grp", group).join(wide, "grp", "left").drop("grp")
+    wide = p.groupBy("key_field", "key_value").agg(*(F.max(F.when(F.col("q") == q, F.col("value"))).alias(name) for q, name in names.items())).alias("w")
+    c = key_counts(f).alias("c")
+    same = (F.col("c.key_field") == F.col("w.key_field")) & F.col("c.key_value").eqNullSafe(F.col("w.key_value"))
+    return c.join(wide, same, "left").select("c.*", *names.values())
 
 
 def heavy_keys(counts: DataFrame, share: float) -> DataFrame:

@@ -12,7 +12,7 @@ from gridloom.functions import normalize as N
 from gridloom.functions import scalars as S
 from gridloom.operators import ingest, settle, state
 from gridloom.operators.deliveries import first_deliveries
-from gridloom.plans.problems import _CLEAN
+from gridloom.plans.problems import CLEAN_SQL
 from gridloom.plans.ticks import clean_ticks, table
 from gridloom.schemas import HISTORY_DEFAULT, INITIAL_ESCROW
 from gridloom.shared import shared_dir
@@ -252,7 +252,7 @@ verdicts AS (
   FROM {source} WHERE consumer NOT IN (SELECT consumer FROM {source} WHERE meter_sequence > 0))"""
 
 
-_LEDGER = f"""WITH RECURSIVE {_CLEAN},
+_LEDGER = f"""WITH RECURSIVE {CLEAN_SQL},
 good AS (SELECT * REPLACE (coalesce(time, 0) AS time) FROM clean WHERE units_drawn IS NOT NULL AND cost IS NOT NULL),
 {_fold_sql('good')},
 ok AS (SELECT good.* EXCLUDE (day) FROM good JOIN verdicts USING (id) WHERE verdict = 'OK'),
@@ -330,7 +330,7 @@ h AS (SELECT ingest_ordinal, json_extract_string(j, '$.topics[0].sym') AS hex FR
     "frame_json": f"""{_LEDGER} SELECT event_id, '{{"type":"UTIL_TICK","data":{{"event_id":' || coalesce('"' || event_id || '"', 'null') || ',"consumer":"' || consumer || '","operator":"' || operator || '","resource_type":"' || resource_type
  || '","units_drawn":' || units_drawn || ',"cost":"' || cost || '","meter_sequence":' || meter_sequence || ',"timestamp":' || time || '}}}}' AS frame FROM ok""",
     "replay_guard": f"{_LEDGER} SELECT good.id, good.consumer, meter_sequence FROM good JOIN verdicts USING (id) WHERE verdict = 'REPLAY'",
-    "dedup_events": f"WITH {_CLEAN} SELECT id, event_id, consumer FROM ticks",
+    "dedup_events": f"WITH {CLEAN_SQL} SELECT id, event_id, consumer FROM ticks",
     "rejections": f"""{_LEDGER} SELECT good.id, event_id, verdict FROM good JOIN verdicts USING (id) WHERE verdict <> 'OK'
 UNION ALL SELECT id, event_id, 'QUARANTINED' FROM clean WHERE units_drawn IS NULL OR cost IS NULL""",
     "settled_ledger": f"{_LEDGER} SELECT * FROM ok",

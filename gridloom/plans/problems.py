@@ -1,4 +1,4 @@
-"""Queries of the data-processing problems 1 to 5 over utility_ticks."""
+"""Queries of the data-processing problems 1, 2, 3 and 5 over utility_ticks."""
 
 from __future__ import annotations
 
@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import normalize as N
-from gridloom.operators import features, outliers, percentiles, skew, trailing
+from gridloom.operators import features, outliers, skew, trailing
 from gridloom.plans.ticks import clean_ticks, different_ticks, table, with_day
 
 PERIODS = (7, 30)
-QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 HEAVY_SHARE = 0.03
 
 
@@ -48,20 +47,6 @@ def p3_key_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skew.key_profiles(clean_ticks(spark, sf_dir), ["consumer", "operator"], "units_drawn", (0.5, 0.9))
 
 
-def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Median and other percentiles of units_drawn and cost per resource type, exact."""
-    ticks = different_ticks(spark, sf_dir)
-    return percentiles.group_percentiles(ticks, "resource_type", ["units_drawn", "cost"], QUANTILES, spread="id").withColumnRenamed("grp", "resource_type")
-
-
-def p4_percentiles_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same from two states made separately (even and odd days) and combined."""
-    ticks = with_day(different_ticks(spark, sf_dir))
-    odd = F.coalesce(F.col("day") % 2 == 1, F.lit(False))
-    states = [percentiles.sorted_runs(ticks.filter(part), "resource_type", ["units_drawn", "cost"], spread="id") for part in (odd, ~odd)]
-    return percentiles.percentiles_of_runs(percentiles.combine_runs(*states), QUANTILES).withColumnRenamed("grp", "resource_type")
-
-
 def p5_implausible(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every implausible reading with its reason."""
     ticks = clean_ticks(spark, sf_dir).filter(F.col("consumer") != "")
@@ -74,10 +59,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (p1_trailing_totals, p2_features, p2_features_long, p3_found, p3_key_profiles, p4_percentiles, p4_percentiles_combined, p5_found, p5_implausible)
+    f.__name__: f for f in (p1_trailing_totals, p2_features, p2_features_long, p3_found, p3_key_profiles, p5_found, p5_implausible)
 }
 
-_CLEAN = r"""
+CLEAN_SQL = r"""
 raw AS (
   SELECT id, event_id,
          upper(trim(consumer, ' ' || chr(9) || chr(10) || chr(13))) AS consumer,
@@ -112,7 +97,7 @@ def _trailing_sql() -> str:
                 f"CASE WHEN {values} > 0 THEN CAST({total} AS DOUBLE) / CAST({values} AS DOUBLE) END AS {m}_avg_row_{p}",
                 f"max({m}_max) {w} AS {m}_max_{p}",
             ]
-    return f"""WITH {_CLEAN},
+    return f"""WITH {CLEAN_SQL},
 span AS (SELECT min(day) AS lo, max(day) AS hi FROM clean),
 grid AS (SELECT consumer, d, lo FROM (SELECT DISTINCT consumer FROM ticks WHERE day IS NOT NULL), span, range(0, 100000) r(x),
          LATERAL (SELECT CAST(lo + x AS INTEGER) AS d) WHERE d <= hi),
@@ -124,7 +109,7 @@ dense AS (SELECT g.consumer, g.d, g.lo, coalesce(n, 0) AS n, coalesce(units_draw
 SELECT consumer, DATE '1970-01-01' + d AS day, CAST(n AS BIGINT) AS n, CAST(units_drawn_sum AS BIGINT) AS units_drawn_sum, CAST(cost_sum AS BIGINT) AS cost_sum, {', '.join(cols)} FROM dense"""
 
 
-_P2_SQL = f"""WITH {_CLEAN},
+_P2_SQL = f"""WITH {CLEAN_SQL},
 per_type AS (SELECT * FROM clean QUALIFY row_number() OVER (PARTITION BY consumer, resource_type, coalesce(event_id, 'null-' || id) ORDER BY id) = 1),
 s AS (SELECT consumer, resource_type, count(*) AS n, max(time) AS last, sum(units_drawn) AS total FROM per_type GROUP BY ALL),
 g AS (SELECT consumer, resource_type FROM (SELECT DISTINCT consumer FROM clean), (SELECT DISTINCT resource_type FROM clean))
@@ -134,18 +119,18 @@ FROM g LEFT JOIN s ON s.consumer = g.consumer AND s.resource_type = g.resource_t
 _KEYS = """k AS (SELECT 'consumer' AS key_field, consumer AS key_value, units_drawn AS value FROM clean
       UNION ALL SELECT 'operator', operator, units_drawn FROM clean)"""
 
-_P3_FOUND_SQL = f"""WITH {_CLEAN}, {_KEYS}
+_P3_FOUND_SQL = f"""WITH {CLEAN_SQL}, {_KEYS}
 SELECT key_field, key_value FROM k WHERE key_value <> '' GROUP BY ALL HAVING count(*) >= 0.03 * (SELECT count(*) FROM clean)"""
 
 
-def _percentile_sql(rows: str, group: str, quantiles: tuple[float, ...]) -> str:
+def percentile_sql(rows: str, group: str, quantiles: tuple[float, ...]) -> str:
     values = ", ".join(f"(CAST({q} AS DOUBLE))" for q in quantiles)
     return f"""r AS (SELECT {group}, list_sort(list(CAST(value AS DOUBLE))) AS vs, count(*) AS cnt FROM {rows} WHERE value IS NOT NULL GROUP BY {group}),
 w AS (SELECT *, q * CAST(cnt - 1 AS DOUBLE) AS place FROM r, (VALUES {values}) v(q)),
 pct AS (SELECT {group}, cnt, q, vs[CAST(floor(place) AS BIGINT) + 1] + (vs[CAST(ceil(place) AS BIGINT) + 1] - vs[CAST(floor(place) AS BIGINT) + 1]) * (place - floor(place)) AS value FROM w)"""
 
 
-_P3_SQL = f"""WITH {_CLEAN}, {_KEYS}, {_percentile_sql('k', 'key_field, key_value', (0.5, 0.9))},
+_P3_SQL = f"""WITH {CLEAN_SQL}, {_KEYS}, {percentile_sql('k', 'key_field, key_value', (0.5, 0.9))},
 f AS (SELECT key_field, key_value, value, count(*) AS n FROM k GROUP BY ALL),
 b AS (SELECT key_field, key_value, value AS mode, n AS mode_rows FROM f WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY key_field, key_value ORDER BY n DESC, value) = 1),
 c AS (SELECT key_field, key_value, CAST(sum(n) AS BIGINT) AS "rows", count(value) AS distinct_values FROM f GROUP BY ALL)
@@ -154,16 +139,9 @@ LEFT JOIN b USING (key_field, key_value)
 LEFT JOIN (SELECT * FROM pct WHERE q = 0.5) x USING (key_field, key_value)
 LEFT JOIN (SELECT * FROM pct WHERE q = 0.9) y USING (key_field, key_value)"""
 
-_P4_SQL = f"""WITH {_CLEAN},
-k AS (SELECT resource_type, 'units_drawn' AS metric, units_drawn AS value FROM ticks UNION ALL SELECT resource_type, 'cost', cost FROM ticks),
-{_percentile_sql('k', 'resource_type, metric', QUANTILES)}
-SELECT resource_type, metric, cnt AS n, q, value FROM pct"""
-
 ORACLES = {
     "p1_trailing_totals": _trailing_sql(),
     "p2_features_long": _P2_SQL,
     "p3_found": _P3_FOUND_SQL,
     "p3_key_profiles": _P3_SQL,
-    "p4_percentiles": _P4_SQL,
-    "p4_percentiles_combined": _P4_SQL,
 }
