@@ -1,16 +1,35 @@
-"""Queries of the text problems 6 to 8 over documents, eval_items and lang_samples."""
+"""Queries of problems 4 and 6 to 8: percentiles of the ledger, and documents, eval_items and lang_samples."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridloom.llm import langid, leakage, packing
+from gridloom.llm import langid, leakage, packing, percentiles
+from gridloom.plans.problems import CLEAN_SQL, percentile_sql
+from gridloom.plans.ticks import different_ticks, with_day
+
+QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median and other percentiles of units_drawn and cost per resource type, exact."""
+    ticks = different_ticks(spark, sf_dir)
+    return percentiles.group_percentiles(ticks, "resource_type", ["units_drawn", "cost"], QUANTILES, spread="id").withColumnRenamed("grp", "resource_type")
+
+
+def p4_percentiles_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from two states made separately (even and odd days) and combined."""
+    ticks = with_day(different_ticks(spark, sf_dir))
+    odd = F.coalesce(F.col("day") % 2 == 1, F.lit(False))
+    states = [percentiles.sorted_runs(ticks.filter(part), "resource_type", ["units_drawn", "cost"], spread="id") for part in (odd, ~odd)]
+    return percentiles.percentiles_of_runs(percentiles.combine_runs(*states), QUANTILES).withColumnRenamed("grp", "resource_type")
+
+
 def p6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's container and place."""
     return packing.packed(_table(spark, sf_dir, "documents"))
@@ -55,5 +74,11 @@ def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.document_languages(_segments(spark, sf_dir)[1])
 
 
-QUERIES = {f.__name__: f for f in (p6_packing, p6_packing_report, p7_found, p7_leaks, p8_found, p8_segments, p8_documents)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p4_percentiles, p4_percentiles_combined, p6_packing, p6_packing_report, p7_found, p7_leaks, p8_found, p8_segments, p8_documents)}
+
+_P4_SQL = f"""WITH {CLEAN_SQL},
+k AS (SELECT resource_type, 'units_drawn' AS metric, units_drawn AS value FROM ticks UNION ALL SELECT resource_type, 'cost', cost FROM ticks),
+{percentile_sql('k', 'resource_type, metric', QUANTILES)}
+SELECT resource_type, metric, cnt AS n, q, value FROM pct"""
+
+ORACLES: dict[str, str] = {"p4_percentiles": _P4_SQL, "p4_percentiles_combined": _P4_SQL}
