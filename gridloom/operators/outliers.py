@@ -44,7 +44,8 @@ STUCK_RATIO = 2.5  # against the source's longest other run
 STUCK_ELSEWHERE = 0.05  # share of the other readings that may have the stuck value
 STUCK_CHANCE = 3  # so many of them may have it in any case
 STUCK_HABIT = 0.85
-CHUNK_ROWS = 200_000
+CHUNK_ROWS = 50_000
+BUFFER_ROWS = 200_000
 HEAVY_PARTS = 100_000  # fewer sources than this can hold more than 1 / HEAVY_PARTS of all rows: the broadcast's bound
 PIECE_ROWS = 400_000
 
@@ -209,7 +210,7 @@ def _stream(batches: Iterator[pa.RecordBatch], metrics: int) -> Iterator[pa.Reco
             continue
         held.append(b)
         rows += b.num_rows
-        if rows < CHUNK_ROWS:
+        if rows < BUFFER_ROWS:
             continue
         t = pa.Table.from_batches(held)
         cut = last_start(t)

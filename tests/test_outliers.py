@@ -48,6 +48,7 @@ def ledger(seed=5):
 @pytest.mark.parametrize("chunk", [200_000, 40])
 def test_planted_cases(spark, monkeypatch, chunk):
     monkeypatch.setattr(outliers, "CHUNK_ROWS", chunk)
+    monkeypatch.setattr(outliers, "BUFFER_ROWS", chunk)
     rows, bad = ledger()
     df = spark.createDataFrame(rows, "id bigint, event string, source string, ts bigint, u bigint, k bigint").withColumnRenamed("ts", "chunk")
     got = outliers.implausible_rows(df, "source", "chunk", "event", "id", ["u", "k"])
