@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: A group of entity and type with more than max(SALT_ROWS, rows / HEAVY_PARTS) rows is spread, so that no salt holds
 #: many more; there are fewer than HEAVY_PARTS such groups, which bounds what is broadcast.
-SALT_ROWS = 50_000
+SALT_ROWS = 5_000
 HEAVY_PARTS = 100_000
 #: The complete type list is part of every row; beyond this many types use the long layout.
 MAX_TYPES = 20_000
