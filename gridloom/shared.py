@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders written by this process, for :func:`clear`.
+_written: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
@@ -31,5 +35,15 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     out = df.write.option("maxRecordsPerFile", 0).option("compression", "zstd")
     if partition_by:
         out = out.partitionBy(*partition_by)
+    _written.append(path)
     out.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete this process's intermediate tables, once the results that read them are stored; gives their number."""
+    jvm, done = spark.sparkContext._jvm, 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        done += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return done

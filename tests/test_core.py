@@ -77,3 +77,10 @@ def test_skewed_keys(spark):
     heavy = skew.heavy_keys(skew.key_counts(skew.value_frequencies(df, ["a", "b"], "v")), 0.3)
     assert {(r["key_field"], r["key_value"]) for r in heavy.collect()} == {k for k, v in want.items() if len(v) >= 0.3 * len(rows)}
     assert skew.key_profiles(df.limit(0), ["a", "b"], "v").count() == 0
+
+
+def test_intermediate_tables_can_be_cleared(spark):
+    from gridloom import shared
+
+    table = shared.written(spark.range(5).toDF("x"), "some")
+    assert table.count() == 5 and shared.clear(spark) >= 1 and shared.clear(spark) == 0
