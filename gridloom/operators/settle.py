@@ -35,7 +35,7 @@ def fold_steps(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     group, last, accepted = None, {}, set()
     for frame in frames:
         before, verdicts = [], []
-        for g, c, knot, seq, event, resets, tail, top in zip(*(frame[k].tolist() for k in ("fold", "consumer", "knot", "seq", "event", "resets", "tail", "top"))):
+        for g, c, knot, seq, event, known, resets, tail, top in zip(*(frame[k].tolist() for k in ("fold", "consumer", "knot", "seq", "event", "known", "resets", "tail", "top"))):
             if g != group:
                 group, last, accepted = g, {}, set()
             now = last.get(c)
@@ -45,7 +45,7 @@ def fold_steps(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 last[c] = int(tail) if resets else max(int(top), now) if now is not None else int(top)
             elif seq > 0 and now is not None and seq <= now:
                 verdicts.append(REPLAY)
-            elif event in accepted:
+            elif known or event in accepted:
                 verdicts.append(DUPLICATE)
             else:
                 verdicts.append(OK)
@@ -57,12 +57,13 @@ def fold_steps(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out
 
 
-def settle(ticks: DataFrame, initial: DataFrame | None = None) -> DataFrame:
+def settle(ticks: DataFrame, initial: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """``ticks`` (id, event_id, consumer, meter_sequence and any others) with a column ``verdict``.
 
     ``id`` is the unique order of arrival. Rows where a column named in ``ticks`` as units_drawn or cost is NULL cannot be
     settled and are QUARANTINED without touching the guard. NULL events are events of their own, NULL consumers one
-    consumer, a NULL sequence counts as 0. ``initial`` (consumer, last_meter_sequence) seeds the guard.
+    consumer, a NULL sequence counts as 0. To go on from an earlier ledger, ``initial`` (consumer, last_meter_sequence) seeds
+    the guard and ``known`` (event_id) names the events accepted before; a known event never changes the guard.
     """
     needed = [c for c in ("units_drawn", "cost") if c in ticks.columns]
     bad = F.lit(False)
@@ -74,9 +75,14 @@ def settle(ticks: DataFrame, initial: DataFrame | None = None) -> DataFrame:
     good = rows.filter(~F.col("bad"))
     good = good.withColumn("copies", F.count(F.lit(1)).over(of_event)).withColumn("top_seq", F.max("seq").over(of_event))
     good = good.withColumn("nth", F.row_number().over(of_event.orderBy("id"))).withColumn("homes", F.when(F.min("consumer").over(of_event) == F.max("consumer").over(of_event), 1).otherwise(2))
-    good = good.withColumn("knot", (F.col("copies") > 1) & (F.col("top_seq") > 0))
+    if known is None:
+        good = good.withColumn("known", F.lit(False))
+    else:
+        before = known.select(F.col("event_id").alias("event"), F.lit(True).alias("k")).filter("event IS NOT NULL").distinct()
+        good = good.join(before, "event", "left").withColumn("known", F.coalesce("k", F.lit(False))).drop("k")
+    good = good.withColumn("knot", F.col("known") | ((F.col("copies") > 1) & (F.col("top_seq") > 0)))
     good = good.withColumn("early", F.when(~F.col("knot") & (F.col("nth") > 1), F.lit(DUPLICATE)))
-    marked = written(good.select("id", "consumer", "event", "seq", "block", "knot", "early", "homes"), "marked")
+    marked = written(good.select("id", "consumer", "event", "seq", "block", "knot", "early", "homes", "known"), "marked")
 
     live = marked.filter(F.col("early").isNull())
     here = Window.partitionBy("consumer", "block").orderBy("id")
@@ -93,11 +99,11 @@ def settle(ticks: DataFrame, initial: DataFrame | None = None) -> DataFrame:
     )
     knots = live.filter("knot")
     none = F.lit(None)
-    sequence = steps.select(*key, F.lit(False).alias("knot"), "id", none.cast("bigint").alias("seq"), none.cast("string").alias("event"), "resets", "tail", "top", F.lit(1).alias("homes")).unionByName(
-        knots.select(*key, F.lit(True).alias("knot"), "id", "seq", "event", F.lit(False).alias("resets"), none.cast("bigint").alias("tail"), none.cast("bigint").alias("top"), "homes")
+    sequence = steps.select(*key, F.lit(False).alias("knot"), "id", none.cast("bigint").alias("seq"), none.cast("string").alias("event"), F.lit(False).alias("known"), "resets", "tail", "top", F.lit(1).alias("homes")).unionByName(
+        knots.select(*key, F.lit(True).alias("knot"), "id", "seq", "event", "known", F.lit(False).alias("resets"), none.cast("bigint").alias("tail"), none.cast("bigint").alias("top"), "homes")
     )
     if initial is not None:
-        seed = initial.select(F.coalesce("consumer", F.lit("\0")).alias("consumer"), F.lit(-1).cast("bigint").alias("block"), F.lit(0).cast("bigint").alias("part"), F.lit(False).alias("knot"), F.lit(-1).cast("bigint").alias("id"), none.cast("bigint").alias("seq"), none.cast("string").alias("event"), F.lit(True).alias("resets"), F.col("last_meter_sequence").alias("tail"), F.col("last_meter_sequence").alias("top"), F.lit(1).alias("homes"))
+        seed = initial.select(F.coalesce("consumer", F.lit("\0")).alias("consumer"), F.lit(-1).cast("bigint").alias("block"), F.lit(0).cast("bigint").alias("part"), F.lit(False).alias("knot"), F.lit(-1).cast("bigint").alias("id"), none.cast("bigint").alias("seq"), none.cast("string").alias("event"), F.lit(False).alias("known"), F.lit(True).alias("resets"), F.col("last_meter_sequence").alias("tail"), F.col("last_meter_sequence").alias("top"), F.lit(1).alias("homes"))
         sequence = sequence.unionByName(seed)
     # a knot's deliveries at several consumers tie these together: they are folded as one group
     tied = knots.filter("homes > 1").select("consumer").distinct().withColumn("tied", F.lit("*"))

@@ -43,6 +43,19 @@ def test_settlement_equals_the_sequential_fold(spark, parts, block):
         S.BLOCK = before
 
 
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(one, min_size=2, max_size=50), st.integers(1, 49))
+def test_two_parts_settle_as_one(spark, parts, cut):
+    rows = [r for r in rows_of(parts) if r[2] is not None]
+    cut = min(cut, len(rows))
+    first = S.settle(spark.createDataFrame(rows[:cut], SCHEMA))
+    accepted = first.filter("verdict = 'OK'")
+    initial = state.consumer_state(accepted).select(state.F.col("address").alias("consumer"), "last_meter_sequence")
+    got = {r["id"]: r["verdict"] for r in first.collect()}
+    got |= {r["id"]: r["verdict"] for r in S.settle(spark.createDataFrame(rows[cut:], SCHEMA), initial, accepted.select("event_id")).collect()}
+    assert got == fold(rows)
+
+
 def test_scenario_and_states(spark):
     tick = lambda i, ev, units, cost, seq, ts: (i, ev, "GC1", "GO1", "SOLAR", units, cost, seq, ts)
     rows = [tick(1, "evt-1", 25, 25000, 1, 1000), tick(2, "evt-replay", 25, 25000, 1, 1001), tick(3, "evt-1", 1, 1, 2, 1002), tick(4, "evt-4", 10, 10000, 2, 900)]
