@@ -5,8 +5,8 @@ Every source's readings are compared with its own behaviour:
 * residual = log(reading) - local level - hour-of-day effect. The local level is the median of the source's 32
   consecutive positive readings around it, so lasting level changes and the daily rhythm are taken out.
 * Peaks over threshold: exceedances of a high threshold, declustered (neighbouring exceedances count once), are fitted
-  with a generalized Pareto tail (shape 0, the limit for light tails; censored against contamination, the scale shrunk
-  towards that of all sources), and the cutoff is where a source's tail has probability RISK.
+  with a generalized Pareto tail by moments (trimmed against contamination; the shape is that of all sources together,
+  a source's scale is shrunk towards theirs), and the cutoff is where a source's tail has probability RISK.
 * A source with at least LEAST_BURSTS bursts (residuals of all of a tick's readings beyond BURST, declustered) that are at
   least BURST_SHARE of its ticks has bursts as its habit; its threshold then is the median of these bursts, otherwise the 90 % point of all residuals.
 * Stuck: a run of equal readings much longer than the source's other runs, on a value it hardly has elsewhere.
@@ -35,6 +35,7 @@ BURST_SHARE = 0.05
 LEAST_BURSTS = 3
 BULK_QUANTILE = 0.9
 TRIM = float(np.log(4.0))  # excesses beyond are set aside when the tail is fitted
+MOST_SHAPE = 0.5  # a shape below 0 (a bounded tail) is not used: 0 is the cautious choice
 PRIOR = 10.0  # weight of all sources' scale, in exceedances
 RISK = 1e-3
 LEAST_FACTOR = 5.0  # below this multiple of the local level nothing is implausible
@@ -277,13 +278,19 @@ def tail_cutoffs(scan: DataFrame) -> DataFrame:
     y = F.col("x") - F.col("u")
     fit = (y > 0) & (y < TRIM)
     per = h.groupBy("source", "metric", "bursty", "total", "u").agg(
-        F.sum(F.when(fit, F.col("n") * y).otherwise(0.0)).alias("sum_y"), F.sum(F.when(fit, F.col("n")).otherwise(0)).alias("n_y"), F.sum(F.when(y > 0, F.col("n")).otherwise(0)).alias("above")
+        F.sum(F.when(fit, F.col("n") * y).otherwise(0.0)).alias("sum_y"), F.sum(F.when(fit, F.col("n") * y * y).otherwise(0.0)).alias("sum_yy"), F.sum(F.when(fit, F.col("n")).otherwise(0)).alias("n_y"), F.sum(F.when(y > 0, F.col("n")).otherwise(0)).alias("above")
     )
-    pool = per.groupBy("bursty", "metric").agg((F.sum("sum_y") / F.greatest(F.sum("n_y"), F.lit(1))).alias("scale0"))
-    per = per.join(F.broadcast(pool), ["bursty", "metric"])
-    scale = (F.col("sum_y") + PRIOR * F.col("scale0")) / (F.col("n_y") + PRIOR)
+    # moments of all sources' excesses give the tail's shape, and the mean that a source's own is shrunk towards
+    mean, square = F.sum("sum_y") / F.greatest(F.sum("n_y"), F.lit(1)), F.sum("sum_yy") / F.greatest(F.sum("n_y"), F.lit(1))
+    pool = per.groupBy("bursty", "metric").agg(mean.alias("mean0"), square.alias("square0"))
+    spread = F.greatest(F.col("square0") - F.col("mean0") * F.col("mean0"), F.lit(1e-9))
+    shape = F.least(F.greatest(0.5 * (1 - F.col("mean0") * F.col("mean0") / spread), F.lit(0.0)), F.lit(MOST_SHAPE))
+    per = per.join(F.broadcast(pool.withColumn("shape", shape)), ["bursty", "metric"])
+    scale = (F.col("sum_y") + PRIOR * F.col("mean0")) / (F.col("n_y") + PRIOR) * (1 - F.col("shape"))
     share = F.greatest(F.col("above"), F.lit(1)) / F.col("total")
-    cut = F.col("u") + scale * F.greatest(F.log(share / RISK), F.lit(0.0))
+    times = F.greatest(F.log(share / RISK), F.lit(0.0))
+    beyond = F.when(F.col("shape") > 1e-6, (F.exp(times * F.col("shape")) - 1) / F.col("shape")).otherwise(times)
+    cut = F.col("u") + scale * beyond
     return per.select("source", "metric", "bursty", "u", scale.alias("scale"), F.greatest(cut, F.lit(float(np.log(LEAST_FACTOR)))).alias("cut"))
 
 
