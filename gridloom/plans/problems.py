@@ -17,7 +17,8 @@ def p1_trailing_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every consumer and calendar day: totals, averages and maxima of units and cost over 7 and 30 days."""
     lo, hi = table(spark, sf_dir, "utility_ticks").select(N.epoch_day(N.epoch_seconds("timestamp")).alias("d")).agg(F.min("d"), F.max("d")).first()
     out = trailing.trailing_totals(with_day(different_ticks(spark, sf_dir)), "consumer", "day", ["units_drawn", "cost"], PERIODS, (lo, hi))
-    return out.select(*(F.col(c).cast("bigint").alias(c) if "_sum" in c else F.col(c) for c in out.columns))
+    kinds = {"day": "string"} | {c: "bigint" for c in out.columns if "_sum" in c}
+    return out.select(*(F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in out.columns))
 
 
 def _p2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +107,7 @@ daily AS (SELECT consumer, day, count(*) AS n, sum(units_drawn) AS units_drawn_s
 dense AS (SELECT g.consumer, g.d, g.lo, coalesce(n, 0) AS n, coalesce(units_drawn_sum, 0) AS units_drawn_sum, coalesce(units_drawn_n, 0) AS units_drawn_n, units_drawn_max,
           coalesce(cost_sum, 0) AS cost_sum, coalesce(cost_n, 0) AS cost_n, cost_max
           FROM grid g LEFT JOIN daily ON daily.consumer = g.consumer AND daily.day = g.d)
-SELECT consumer, DATE '1970-01-01' + d AS day, CAST(n AS BIGINT) AS n, CAST(units_drawn_sum AS BIGINT) AS units_drawn_sum, CAST(cost_sum AS BIGINT) AS cost_sum, {', '.join(cols)} FROM dense"""
+SELECT consumer, CAST(DATE '1970-01-01' + d AS VARCHAR) AS day, CAST(n AS BIGINT) AS n, CAST(units_drawn_sum AS BIGINT) AS units_drawn_sum, CAST(cost_sum AS BIGINT) AS cost_sum, {', '.join(cols)} FROM dense"""
 
 
 _P2_SQL = f"""WITH {CLEAN_SQL},
