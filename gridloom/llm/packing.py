@@ -9,8 +9,8 @@ counted while tokenising, per partition, and completed by per-partition offsets.
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator
+import base64
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from gridloom.shared import written
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Fixed value: how a text is split before byte pairs are merged, for rank files of the 50k byte-level vocabulary.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CAPACITY = 512
 WINDOW = 0  # combinations must fill the capacity up to so many tokens
 PIECE_CHARS = 50_000  # longer texts are encoded in pieces, cut before a blank where there is one
@@ -38,6 +40,22 @@ def _pieces(text: str) -> list[str]:
     return [*out, text]
 
 
+def token_counter(path: str, split: str = SPLIT) -> Callable[[str], int]:
+    """Counts a text's tokens: a rank file (.tiktoken, with ``split``) or a tokenizer's JSON. Special tokens' texts are ordinary text."""
+    if path.endswith(".json"):
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(path)
+        whole.encode_special_tokens = True
+        return lambda text: len(whole.encode(text, add_special_tokens=False).ids)
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}
+    encoding = tiktoken.Encoding("ranks", pat_str=split, mergeable_ranks=ranks, special_tokens={})
+    return lambda text: len(encoding.encode_ordinary(text))
+
+
 def sized_items(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, piece, start, tokens, part, rank): the items to pack, written.
 
@@ -46,22 +64,14 @@ def sized_items(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKE
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
-        encoder = Tokenizer.from_file(tokenizer)
-        encoder.encode_special_tokens = True
+        tokens = token_counter(tokenizer)
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            flat = [(k, p) for k, t in enumerate(texts) for p in _pieces(t or "")]
-            sizes = np.zeros(len(texts), np.int64)
-            for a in range(0, len(flat), 256):
-                group = flat[a : a + 256]
-                for (k, _), e in zip(group, encoder.encode_batch([p for _, p in group], add_special_tokens=False)):
-                    sizes[k] += len(e)
+            sizes = np.array([sum(map(tokens, _pieces(t))) if t else 0 for t in texts], np.int64)
             count = np.maximum(1, -(-sizes // capacity))
             row = np.repeat(np.arange(len(texts)), count)
             piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
