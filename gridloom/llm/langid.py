@@ -53,9 +53,12 @@ def label_code(label: str | None) -> str | None:
     return _CODE_OF.get(s) or _CODE_OF.get(re.split(r"[-_ ]", s)[0])
 
 
+_DIGITS = re.compile(r"\d+")
+
+
 def normal(text: str) -> str:
     """Lower case, white space folded, digits as one sign: what the trees see."""
-    return re.sub(r"\d+", "0", re.sub(r"\s+", " ", visible(text).lower())).strip()
+    return _DIGITS.sub("0", " ".join(visible(text).lower().split()))
 
 
 def without_accents(text: str) -> str:
@@ -152,6 +155,9 @@ class FrozenPPM:
 def _path(bits: np.ndarray, switch: float) -> np.ndarray:
     """Languages of consecutive sentences with the least total code length, a change costing ``switch`` bits."""
     n, m = bits.shape
+    own = bits.argmin(axis=1)
+    if (own == own[0]).all():  # each sentence's best is the path's
+        return own
     best, back = bits[0].copy(), np.zeros((n, m), np.int64)
     for i in range(1, n):
         j = int(best.argmin())

@@ -11,6 +11,8 @@ _TAG = re.compile(r"</?[a-z][^<>\n]{0,200}>", re.I)
 _LINK = re.compile(r"(?:https?|ftp)://\S+|www\.\S+", re.I)
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _PLAIN = re.compile(r"^[\"'“”„«»‘’(\[¿¡*>\-–—]*[^\W\d_]+(?:['’\-/][^\W\d_]+)*[\"'“”„«»‘’)\]*.,:;!?…]*$")
+#: Lines of such tokens only, the first a word, are prose without a closer look.
+_SIMPLE = re.compile(r"^\s*[^\W\d_]++(?:['’\-][^\W\d_]++)*+[.,:;!?]?(?:\s++[^\W\d_]++(?:['’\-][^\W\d_]++)*+[.,:;!?]?)*+\s*$")
 _NUMBER = re.compile(r"^[\W\d_]*$")
 _CODE = re.compile(r"[_{}<>=$|&\\\[\];]|\w\(")
 _END = re.compile(r"(?<=[.!?…])[\"'”»’)]*\s+")
@@ -27,6 +29,8 @@ def visible(text: str) -> str:
 
 
 def _is_prose(line: str) -> bool:
+    if _SIMPLE.match(line):
+        return True
     plain = other = 0
     for token in visible(line).split():
         if _PLAIN.match(token):
