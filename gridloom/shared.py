@@ -16,10 +16,12 @@ _written: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) a temporary local folder is set instead.
+    Only where the session names none and runs on one machine (tests, a laptop) a temporary folder is set instead.
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
