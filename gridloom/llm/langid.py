@@ -71,7 +71,7 @@ def _grams(data: bytes, order: int) -> list[np.ndarray]:
     out = [b]
     for k in range(1, order + 1):
         g = out[-1].copy()
-        g[k:] |= b[: len(b) - k] << np.uint64(8 * k)
+        g[k:] |= b[: max(0, len(b) - k)] << np.uint64(8 * k)
         out.append(g)
     return out
 
@@ -118,16 +118,21 @@ class FrozenPPM:
         i = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
         return np.where(keys[i] == wanted, i, -1)
 
-    def byte_costs(self, data: bytes) -> np.ndarray:
-        """Bits of every byte (rows) under every language (columns); the first byte is only context."""
+    def byte_costs(self, data: bytes, start: np.ndarray) -> np.ndarray:
+        """Bits of every byte (rows) under every language (columns), where texts begin at ``start``.
+
+        A text's first byte is only context, and no context reaches beyond it.
+        """
         grams = _grams(data, self.order)
         n = len(data)
         out = np.zeros((n, len(self.langs)), np.float32)
-        todo = np.arange(1, n)
+        depth = np.arange(n) - np.repeat(start, np.diff(np.append(start, n)))
+        todo = np.flatnonzero(depth)
         for k in range(self.order, -1, -1):
             if not len(todo):
                 break
-            usable = todo[todo >= k]
+            far = depth[todo] >= k
+            usable = todo[far]
             found = self._find(self.keys[k], grams[k][usable])
             hit = found >= 0
             out[usable[hit]] += self.costs[k][found[hit]]
@@ -135,21 +140,22 @@ class FrozenPPM:
             context = self._find(self.context_keys[k], grams[k][rest] >> np.uint64(8))
             known = context >= 0
             out[rest[known]] += self.escapes[k][context[known]]
-            todo = np.concatenate([todo[todo < k], rest])
+            todo = np.concatenate([todo[~far], rest])
         out[todo] += 8.0
         return out
 
-    def code_lengths(self, texts: Sequence[str]) -> np.ndarray:
-        """Bits of each text under each language, of all its bytes."""
-        if not texts:
-            return np.zeros((0, len(self.langs)))
-        parts = [b" " + normal(t).encode() for t in texts]
-        end = np.cumsum([len(p) for p in parts])
-        start = end - [len(p) for p in parts]
-        cost = self.byte_costs(b"".join(parts)).astype(np.float64)
-        for s in start:  # a text's first byte follows no other text
-            cost[s] = 0.0
-        return np.add.reduceat(cost, start, axis=0)
+    def code_lengths(self, texts: Sequence[str], known: dict[str, np.ndarray] | None = None) -> np.ndarray:
+        """Bits of each text under each language, of all its bytes. ``known`` keeps the bits of sentences seen before."""
+        known = {} if known is None else known
+        keys = [normal(t) for t in texts]
+        new = [k for k in dict.fromkeys(keys) if k not in known]
+        if new:
+            parts = [b" " + k.encode() for k in new]
+            end = np.cumsum([len(p) for p in parts])
+            start = end - [len(p) for p in parts]
+            cost = self.byte_costs(b"".join(parts), start).astype(np.float64)
+            known.update(zip(new, np.add.reduceat(cost, start, axis=0)))
+        return np.array([known[k] for k in keys]).reshape(-1, len(self.langs))
 
 
 def _path(bits: np.ndarray, switch: float) -> np.ndarray:
@@ -180,12 +186,13 @@ def _confidence(bits: np.ndarray, lang: int) -> float:
 _SEGMENTS = pa.schema([("doc_id", pa.int64()), ("segment", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("words", pa.int32()), ("language", pa.string()), ("confidence", pa.float64())])
 SEGMENT_SCHEMA = "doc_id bigint, segment int, start int, stop int, words int, language string, confidence double"
 BATCH_CHARS = 200_000
+REMEMBERED = 50_000  # sentences whose code lengths a worker keeps, as repeated ones are frequent
 
 
-def _label(model: FrozenPPM, ids: list[int], texts: list[str]) -> pa.RecordBatch:
+def _label(model: FrozenPPM, ids: list[int], texts: list[str], known: dict[str, np.ndarray] | None = None) -> pa.RecordBatch:
     spans = [sentences(t) for t in texts]
     flat = [texts[d][a:b] for d, own in enumerate(spans) for a, b in own]
-    bits = model.code_lengths(flat)
+    bits = model.code_lengths(flat, known)
     rows: list[tuple] = []
     at = 0
     for d, own in enumerate(spans):
@@ -248,17 +255,20 @@ def language_segments(docs: DataFrame, model: FrozenPPM, doc_id: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model  # a few MB, bounded by the samples; Spark broadcasts functions of that size
+        known: dict[str, np.ndarray] = {}
         for batch in batches:
             ids, texts, size = [], [], 0
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids.append(i)
                 texts.append(t or "")
                 size += len(texts[-1])
+                if len(known) > REMEMBERED:
+                    known.clear()
                 if size >= BATCH_CHARS:
-                    yield _label(m, ids, texts)
+                    yield _label(m, ids, texts, known)
                     ids, texts, size = [], [], 0
             if ids:
-                yield _label(m, ids, texts)
+                yield _label(m, ids, texts, known)
 
     return docs.select(F.col(doc_id).cast("bigint"), F.col(text)).mapInArrow(run, SEGMENT_SCHEMA)
 

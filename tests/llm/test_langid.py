@@ -51,7 +51,10 @@ def test_code_lengths_are_those_of_the_definition(text):
     samples = [("en", EN), ("de", DE), ("en", "a meter")]
     for order in (0, 2, 4):
         got = G.FrozenPPM(samples, order).code_lengths([text, "x", text])
+        assert G.FrozenPPM(samples, order).code_lengths([text]).shape == (1, 2)
         assert got[0] == pytest.approx(slow_bits(samples, text, order), abs=1e-3) and got[2] == pytest.approx(got[0], abs=1e-3)
+        after = G.FrozenPPM(samples, order).code_lengths([EN, "n", text])
+        assert after[2] == pytest.approx(got[0], abs=1e-3)  # no context reaches into another text
 
 
 def test_prose_only():
