@@ -61,7 +61,13 @@ def history_nested(state: DataFrame, recent: DataFrame) -> DataFrame:
     """The consumer's state with its history as an array, newest first."""
     fields = [c for c in recent.columns if c not in ("id", "place")]
     nested = recent.groupBy().agg(F.array_sort(F.collect_list(F.struct("place", *fields))).alias("history"))
-    return state.join(F.broadcast(nested), F.lit(True), "left")
+    return _beside(state, nested)
+
+
+def _beside(rows: DataFrame, one_row: DataFrame) -> DataFrame:
+    """``rows`` with the columns of a one-row table."""
+    one = F.lit(1).alias("__one")
+    return rows.select("*", one).join(F.broadcast(one_row.select("*", one)), "__one", "left").drop("__one")
 
 
 def summary_of(table: DataFrame, count: str, sums: dict[str, str]) -> DataFrame:
@@ -87,16 +93,14 @@ def grid_metrics(accepted: DataFrame, consumers: DataFrame, operators: DataFrame
     t = summary_of(accepted, "total_ticks", {"total_settled": "cost"})
     c = summary_of(consumers, "active_consumers", {"total_units": "total_units_consumed"})
     o = summary_of(operators, "active_operators", {"total_earned": "total_earned"})
-    one = F.lit(1).alias("one")
-    joined = t.select("*", one).join(c.select("*", one), "one").join(o.select("*", one), "one")  # one row each
-    return joined.select("total_ticks", F.col("total_settled").cast("string").alias("total_settled"), "active_consumers", F.col("total_units").cast("bigint").alias("total_units"), "active_operators", F.col("total_earned").cast("string").alias("total_earned"))
+    return _beside(_beside(t, c), o).select("total_ticks", F.col("total_settled").cast("string").alias("total_settled"), "active_consumers", F.col("total_units").cast("bigint").alias("total_units"), "active_operators", F.col("total_earned").cast("string").alias("total_earned"))
 
 
 def grid_summary(metrics: DataFrame, operators: DataFrame, shares: DataFrame) -> DataFrame:
     """The metrics with the operators as an array of rows and the distribution as a map."""
     ops = operators.groupBy().agg(F.array_sort(F.collect_list(F.struct("place", "address", "resource_type", "staked_amount", "total_earned"))).alias("operators"))
     dist = shares.groupBy().agg(F.map_from_entries(F.collect_list(F.struct(F.coalesce("resource_type", F.lit("")), "units"))).alias("distribution"))
-    return metrics.join(F.broadcast(ops), F.lit(True), "left").join(F.broadcast(dist), F.lit(True), "left")
+    return _beside(_beside(metrics, ops), dist)
 
 
 def public_frame(ticks: DataFrame, time: str = "time") -> DataFrame:

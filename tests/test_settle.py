@@ -71,8 +71,13 @@ def test_scenario_and_states(spark):
     assert [int(r["balance"]) for r in S.running_balance(accepted, 10_000_000).orderBy("id").collect()] == [9_975_000, 9_965_000]
     assert [(r["id"], r["place"]) for r in state.history(accepted, "GC1", 1).collect()] == [(4, 1)]
     assert state.history(accepted, "GC_NONE", 50).count() == 0
-    m = state.grid_metrics(accepted, state.consumer_state(accepted), o).first()
+    metrics = state.grid_metrics(accepted, state.consumer_state(accepted), o)
+    m = metrics.first()
     assert (m["total_ticks"], m["active_consumers"], m["active_operators"], m["total_settled"]) == (2, 1, 1, "35000")
+    nested = state.history_nested(state.consumer_state(accepted), state.history(accepted, "GC1", 50)).first()
+    assert [h["event_id"] for h in nested["history"]] == ["evt-4", "evt-1"] and nested["address"] == "GC1"
+    full = state.grid_summary(metrics, state.leaderboard(o, True), state.distribution(accepted)).first()
+    assert full["distribution"] == {"SOLAR": 35} and [x["address"] for x in full["operators"]] == ["GO1"]
 
 
 def test_reset_reuse_and_prior_state(spark):
