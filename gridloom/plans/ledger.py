@@ -15,7 +15,7 @@ from gridloom.operators.deliveries import first_deliveries
 from gridloom.plans.problems import CLEAN_SQL
 from gridloom.plans.ticks import clean_ticks, table
 from gridloom.schemas import HISTORY_DEFAULT, INITIAL_ESCROW
-from gridloom.shared import shared_dir
+from gridloom.shared import shared_dir, written
 from gridloom.sources import events
 
 
@@ -192,7 +192,8 @@ def validate_ingest(spark, sf_dir):
 
 def default_cost(spark, sf_dir):
     """Cost of the valid requests, given or derived."""
-    return _long(_validated(spark, sf_dir).filter(F.col("error").isNull()), "cost").select("id", "units_drawn", "cost")
+    # written once: as a filter, the error's expression would be generated twice
+    return _long(written(_validated(spark, sf_dir), "requests").filter(F.col("error").isNull()), "cost").select("id", "units_drawn", "cost")
 
 
 def ingest_outcomes(spark, sf_dir):
