@@ -14,7 +14,8 @@ Every source's readings are compared with its own behaviour:
 
 Scale: a source's readings are split into time chunks before the one shuffle when it holds many rows, the sorted chunks
 are streamed through Arrow batches, and all that leaves a chunk are histograms of residuals (bounded bins), candidate
-rows and long runs; runs that cross a chunk's edge are joined again.
+rows, long runs and, of a source in several chunks, the counts of its values; runs that cross a chunk's edge are joined
+again, and all that a run is compared with is of the whole source.
 """
 
 from __future__ import annotations
@@ -57,7 +58,7 @@ _ARROW = pa.schema(
         ("r", pa.float64()), ("run", pa.int32()), ("value", pa.float64()), ("same", pa.int64()), ("other", pa.int64()), ("is_first", pa.bool_()), ("is_last", pa.bool_()), ("multi", pa.bool_()),
     ]
 )
-HISTOGRAM, CANDIDATE, RUN, MEMBER, TICKS = range(5)
+HISTOGRAM, CANDIDATE, RUN, MEMBER, TICKS, READINGS, VALUES = range(7)
 
 
 def _medians(values: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
@@ -168,12 +169,11 @@ def _segments(t: pa.Table, piece: int, cut: bool, metrics: int) -> Iterator[pa.R
         tail = np.r_[run_seg[1:] != run_seg[:-1], True]
         multi = multi1[on][start]
         long = length >= STUCK_LENGTH
-        keep = np.flatnonzero(long | (multi & (head | tail)))
-        if not len(keep):
-            continue
+        edge = multi & (head | tail)
         other = np.zeros(len(ticks), np.int64)
-        np.maximum.at(other, run_seg, np.where(long, 0, length))
+        np.maximum.at(other, run_seg, np.where(long | edge, 0, length))  # how long the runs at an edge are shows when they are joined
         total = np.bincount(seg[on], minlength=len(ticks))
+        yield batch(READINGS, src[seg_start], chunk[seg_start], metric=np.full(len(ticks), metric), n=total, other=other)
         # how often a run's value stands elsewhere in its segment
         order = np.lexsort((run_value, run_seg))
         same_group = np.r_[True, (run_seg[order][1:] != run_seg[order][:-1]) | (run_value[order][1:] != run_value[order][:-1])]
@@ -182,10 +182,17 @@ def _segments(t: pa.Table, piece: int, cut: bool, metrics: int) -> Iterator[pa.R
         elsewhere = np.zeros(len(start), np.int64)
         elsewhere[order] = sums[g]
         elsewhere -= length
+        heads = order[same_group]
+        parts = multi[heads]
+        s = seg_start[run_seg[heads[parts]]]
+        yield batch(VALUES, src[s], chunk[s], metric=np.full(len(s), metric), value=run_value[heads[parts]], n=sums[parts].astype(np.int64))
+        keep = np.flatnonzero(long | edge)
+        if not len(keep):
+            continue
         s = seg_start[run_seg[keep]]
         yield batch(
-            RUN, src[s], chunk[s], metric=np.full(len(keep), metric), run=keep, value=run_value[keep], n=length[keep], same=elsewhere[keep], other=other[run_seg[keep]],
-            bin=total[run_seg[keep]], is_first=head[keep], is_last=tail[keep], multi=multi[keep],
+            RUN, src[s], chunk[s], metric=np.full(len(keep), metric), run=keep, value=run_value[keep], n=length[keep], same=elsewhere[keep],
+            is_first=head[keep], is_last=tail[keep], multi=multi[keep],
         )
         run_of = np.full(len(at), -1, np.int64)
         run_of[on] = np.cumsum(change) - 1
@@ -297,18 +304,26 @@ def tail_cutoffs(scan: DataFrame) -> DataFrame:
 def stuck_rows(scan: DataFrame) -> DataFrame:
     """(source, id, metric) of all ticks in stuck stretches."""
     place = ["source", "chunk", "piece", "metric", "run"]
-    runs = scan.filter(F.col("kind") == RUN).select(*place, "value", F.col("n").alias("length"), "same", "other", F.col("bin").alias("total"), (F.col("multi") & (F.col("is_first") | F.col("is_last"))).alias("edge"), "is_first", "is_last")
+    runs = scan.filter(F.col("kind") == RUN).select(*place, "value", F.col("n").alias("length"), "same", (F.col("multi") & (F.col("is_first") | F.col("is_last"))).alias("edge"), "is_first", "is_last")
     along = Window.partitionBy("source", "metric").orderBy("chunk", "piece", "run")
     edges = runs.filter("edge")
     goes_on = F.col("is_first") & F.coalesce(F.lag("is_last").over(along), F.lit(False)) & F.coalesce(F.lag("value").over(along) == F.col("value"), F.lit(False))
     edges = edges.withColumn("root", F.sum(F.when(goes_on, 0).otherwise(1)).over(along.rowsBetween(Window.unboundedPreceding, 0)))
     inner = runs.filter(~F.col("edge")).withColumn("root", F.lit(None).cast("bigint"))
     runs = edges.unionByName(inner).withColumn("key", F.when(F.col("root").isNotNull(), F.concat(F.lit("e"), F.col("root"))).otherwise(F.concat_ws("-", "chunk", "piece", "run")))
-    whole = runs.groupBy("source", "metric", "key").agg(F.sum("length").alias("length"), F.sum("same").alias("same"), F.max("other").alias("other"), F.sum("total").alias("total"))
-    rare = F.col("same") <= F.greatest(F.lit(STUCK_CHANCE), STUCK_ELSEWHERE * (F.col("total") - F.col("length")))
+    whole = runs.groupBy("source", "metric", "key").agg(F.first("value").alias("value"), F.sum("length").alias("length"), F.sum("same").alias("same"))
     long = F.col("length") >= STUCK_LENGTH
-    habit = whole.groupBy("source", "metric").agg(F.sum(F.when(long, F.col("length")).otherwise(0)).alias("in_long"), F.max(F.when(long & ~rare, F.col("length")).otherwise(0)).alias("usual"))
-    stuck = whole.join(habit, ["source", "metric"]).filter(long & rare & (F.col("length") >= STUCK_RATIO * F.greatest("other", "usual")) & (F.col("in_long") <= STUCK_HABIT * F.col("total")))
+    # a source in several segments: how often it has the value in all of them
+    values = scan.filter(F.col("kind") == VALUES).select("source", "metric", "value", "n")
+    values = values.join(whole.filter(long).select("source", "metric", "value").distinct(), ["source", "metric", "value"], "left_semi").groupBy("source", "metric", "value").agg(F.sum("n").alias("all"))
+    whole = whole.join(values, ["source", "metric", "value"], "left").withColumn("same", F.coalesce(F.col("all") - F.col("length"), "same"))
+    readings = scan.filter(F.col("kind") == READINGS).groupBy("source", "metric").agg(F.sum("n").alias("total"), F.max("other").alias("other"))
+    whole = whole.join(readings, ["source", "metric"])
+    rare = F.col("same") <= F.greatest(F.lit(STUCK_CHANCE), STUCK_ELSEWHERE * (F.col("total") - F.col("length")))
+    habit = whole.groupBy("source", "metric").agg(
+        F.sum(F.when(long, F.col("length")).otherwise(0)).alias("in_long"), F.max(F.when(long & ~rare, F.col("length")).otherwise(0)).alias("usual"), F.max(F.when(~long, F.col("length")).otherwise(0)).alias("short")
+    )
+    stuck = whole.join(habit, ["source", "metric"]).filter(long & rare & (F.col("length") >= STUCK_RATIO * F.greatest("other", "short", "usual")) & (F.col("in_long") <= STUCK_HABIT * F.col("total")))
     pieces = runs.join(stuck.select("source", "metric", "key"), ["source", "metric", "key"]).select(*place)
     return scan.filter(F.col("kind") == MEMBER).select(*place, "id").join(pieces, place).select("source", "id", "metric")
 

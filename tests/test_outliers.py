@@ -59,6 +59,23 @@ def test_planted_cases(spark, monkeypatch, chunk):
         assert bad <= found and len(found - bad) <= 3
 
 
+@pytest.mark.parametrize("chunk", [200_000, 40])
+@pytest.mark.parametrize("habit", [False, True])
+def test_stuck_whatever_the_chunks(spark, monkeypatch, chunk, habit):
+    monkeypatch.setattr(outliers, "CHUNK_ROWS", chunk)
+    monkeypatch.setattr(outliers, "BUFFER_ROWS", chunk)
+    value = [1000 + k * 37 % 400 for k in range(400)]
+    stuck = {*range(90, 110), *range(210, 230), *range(315, 325)}  # more than a chunk in all; the last one lies across an edge
+    for k in stuck:
+        value[k] = 2000 + k // 200
+    value[315:325] = [2500] * 10
+    if habit:  # a value that the source often has, in other chunks than its long stretch
+        value[330:350], value[0:60:2] = [1500] * 20, [1500] * 30
+    df = spark.createDataFrame([(k, f"e{k}", "a", 1_735_700_000 + k * 1000, v) for k, v in enumerate(value)], "id bigint, event string, source string, ts bigint, u bigint")
+    got = outliers.implausible_rows(df, "source", "ts", "event", "id", ["u"]).filter("reason = 'stuck'").collect()
+    assert {r["id"] for r in got} == (set() if habit else stuck)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "id bigint, event string, source string, ts bigint, u bigint")
     assert outliers.implausible_rows(df, "source", "ts", "event", "id", ["u"]).count() == 0
