@@ -1,11 +1,14 @@
 """Evaluation texts leaking into training text: a distributed positional inverted index.
 
-Every training document is tokenised once; the index keeps, per term and document, the positions of the term, for the
-terms that occur in the evaluation items (no other posting list is ever read). Each window of an item names its rarest
-terms as seeds; the seeds' posting lists, shifted by the seed's own position, meet where the document holds the item's
-wording (equal or nearly equal offsets), which gives the candidates. For these the posting lists of all of the item's
-terms are intersected the same way into aligned stretches, which allow changed, added and missing words; exact phrases
-are stretches without gaps.
+Every different training text is tokenised once (copies get the text's pairs at the end);
+the index keeps, per term and text, the positions of the term, for the terms that occur in the evaluation items (no other
+posting list is ever read), and of the items' own phrases of PHRASE words. How common a term is in the texts is counted
+without copies and without the texts that have it within such a phrase, so no item's leaks make its words common. Each window of an item names its rarest
+terms as seeds; the seeds' posting lists, shifted by the seed's own position, meet where the text holds the item's
+wording (equal or nearly equal offsets), which gives the candidates. Where a window has too few rare terms, one of its
+phrases is enough, however common its terms or itself are in the texts. For the candidates the posting lists of all of
+the item's terms are intersected the same way into aligned stretches, which allow changed, added and missing words; exact
+phrases are stretches without gaps. Stretches without enough rare terms must be long and nearly without gaps.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from gridloom.shared import written
 
 WINDOW = 13  # words of the stretches that must not be missed
 SEEDS = 5  # rarest terms per window that open candidates; two of them must meet
+FEW = 2  # in windows with fewer rare terms a single phrase opens a candidate
+PHRASE = 5  # words of a phrase; it is an item's own if at most RARE_ITEMS of the items have it
 DRIFT = 4  # words by which offsets may differ within a stretch
 RARE_ITEMS = 0.02  # a rare term is in at most this share of the items ...
 RARE_DOCS = 0.02  # ... and of the documents
@@ -32,7 +37,8 @@ STRETCH = 12  # words of an item's stretch that make a leak by itself ("about fi
 PIECE = 5  # words of a stretch that counts for the share of a whole item
 WHOLE = 0.7  # share of an item's words that makes a leak of the whole item
 MATCHED = 0.6  # share of a stretch's words, and of its rare terms, that must match
-BROADCAST_PAIRS = 500_000  # up to so many candidate pairs their document ids are broadcast (8 bytes each), beyond they are joined
+STRICT = 0.85  # share of a stretch's words that must match if it has fewer than two rare matches
+BROADCAST_PAIRS = 500_000  # up to so many candidate pairs their document ids are broadcast (16 bytes each), beyond they are joined
 MAX_ITEM_TOKENS = 5_000_000  # bound of what is broadcast about the evaluation items
 
 _TOKEN = re.compile(r"[^\W_]+")
@@ -57,57 +63,105 @@ def _item_terms(items: DataFrame, item_id: str, text: str) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["item_id", "pos", "term"])
 
 
-def positional_index(docs: DataFrame, vocabulary: set[str] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(term, doc_id, positions) for all terms, or those of ``vocabulary`` (whose size the caller bounds).
+def _phrase_keys(ids: np.ndarray) -> np.ndarray:
+    """A 64-bit key of the PHRASE words at every position; ``ids``: the words' numbers from 1, 0 for words of no item."""
+    n = max(0, len(ids) - PHRASE + 1)
+    key = np.zeros(n, np.uint64)
+    for k in range(PHRASE):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + ids[k : k + n].astype(np.uint64)
+    return key
 
-    Whole texts; NULL and blank texts have no postings. Repeated ids give postings each of their own.
+
+def positional_index(docs: DataFrame, vocabulary: dict[str, int] | None = None, doc_id: str = "doc_id", text: str = "text", phrases: np.ndarray | None = None) -> DataFrame:
+    """(term, doc_id, positions, quoted) for all terms, or those of ``vocabulary`` (whose size the caller bounds).
+
+    ``phrases``: sorted keys of phrases over the vocabulary's numbers; the n-th has the term " n", and its words
+    are ``quoted``. Whole texts; NULL and
+    blank texts have no postings. Repeated ids give postings each of their own. Ids are numbers or binary.
     """
-    words = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    schema = pa.schema([("term", pa.string()), ("doc_id", pa.int64()), ("positions", pa.list_(pa.int32()))])
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, phrases))
+    binary = dict(docs.dtypes)[doc_id] == "binary"
+    schema = pa.schema([("term", pa.string()), ("doc_id", pa.binary() if binary else pa.int64()), ("positions", pa.list_(pa.int32())), ("quoted", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = words.value
+        keep, known = shared.value
         for batch in batches:
             terms: list[str] = []
-            ids: list[int] = []
+            ids: list[int | bytes] = []
             positions: list[list[int]] = []
+            quoted: list[bool] = []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own: dict[str, list[int]] = {}
-                for k, w in enumerate(tokens(t)):
+                words = tokens(t)
+                within: set[str] = set()
+                for k, w in enumerate(words):
                     if keep is None or w in keep:
                         own.setdefault(w, []).append(k)
+                if known is not None and len(known) and len(words) >= PHRASE:
+                    keys = _phrase_keys(np.array([keep.get(w, 0) for w in words]))
+                    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                    for k in np.flatnonzero(known[at] == keys).tolist():
+                        own.setdefault(f" {at[k]}", []).append(k)
+                        within.update(words[k : k + PHRASE])
                 terms += own
                 ids += [i] * len(own)
                 positions += own.values()
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(ids, pa.int64()), pa.array(positions, schema.field(2).type)], schema=schema)
+                quoted += [w in within for w in own]
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(ids, schema.field(1).type), pa.array(positions, schema.field(2).type), pa.array(quoted, pa.bool_())], schema=schema)
 
-    return docs.select(F.col(doc_id).cast("bigint"), F.col(text)).mapInArrow(run, "term string, doc_id bigint, positions array<int>")
+    kind = "binary" if binary else "bigint"
+    return docs.select(F.col(doc_id).cast(kind), F.col(text)).mapInArrow(run, f"term string, doc_id {kind}, positions array<int>, quoted boolean")
 
 
 def _seeds(item: pd.DataFrame, df: dict[str, int]) -> pd.DataFrame:
-    """(item_id, pos, term): in every window of WINDOW words the SEEDS positions with the rarest terms, rare ones only."""
+    """(item_id, pos, term, alone): in every window of WINDOW words the SEEDS positions with the rarest terms, rare ones only.
+
+    Of windows with fewer than FEW of these also the item's own phrases, each of which suffices ``alone``.
+    """
     out = []
     for item_id, own in item.groupby("item_id", sort=False):
         terms = own["term"].tolist()
         rare = np.flatnonzero(own["rare"].to_numpy())
         rarity = {k: (df.get(terms[k], 0), k) for k in rare.tolist()}
+        phrase, mine = own["phrase"].to_numpy(), np.flatnonzero(own["own"].to_numpy())
         chosen: set[int] = set()
+        alone: set[int] = set()
         for a in range(max(1, len(terms) - WINDOW + 1)):
             inside = rare[np.searchsorted(rare, a) : np.searchsorted(rare, a + WINDOW)].tolist()
             chosen |= set(sorted(inside, key=rarity.__getitem__)[:SEEDS])
-        out += [(item_id, k, terms[k]) for k in sorted(chosen)]
-    return pd.DataFrame(out, columns=["item_id", "pos", "term"])
+            if len(inside) < FEW:
+                alone |= set(mine[np.searchsorted(mine, a) : np.searchsorted(mine, a + WINDOW - PHRASE + 1)].tolist())
+        out += [(item_id, k, terms[k], False) for k in sorted(chosen)]
+        out += [(item_id, k, f" {phrase[k]}", True) for k in sorted(alone)]
+    return pd.DataFrame(out, columns=["item_id", "pos", "term", "alone"])
 
 
-def stretches(i: np.ndarray, j: np.ndarray, rare: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """Aligned stretches of matches (item position i, document position j): (first i, last i, matched, rare matched, gaps).
+def _met(i: np.ndarray, j: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per match: a phrase begins here in both texts; it belongs to such a phrase that is the item's ``own``."""
+    o = np.lexsort((i, j - i))
+    a, d = i[o], (j - i)[o]
+    new = np.r_[True, (d[1:] != d[:-1]) | (a[1:] != a[:-1] + 1)]
+    end = np.r_[np.flatnonzero(new)[1:], len(o)][np.cumsum(new) - 1]
+    starts = end - np.arange(len(o)) >= PHRASE
+    first = np.flatnonzero(starts & own[a])
+    inside = np.zeros(len(o), bool)
+    for k in range(PHRASE):
+        inside[first + k] = True
+    back = np.empty_like(o)
+    back[o] = np.arange(len(o))
+    return starts[back], inside[back]
 
-    Matches count if a rare match lies near them on nearly the same offset. A stretch is a chain of matches, each at most
+
+def stretches(i: np.ndarray, j: np.ndarray, rare: np.ndarray, anchor: np.ndarray | None = None) -> list[tuple[int, int, int, int, int, int, int]]:
+    """Aligned stretches of matches (item position i, document position j): (first i, last i, matched, rare matched, gaps, first j, last j).
+
+    Matches count if a rare match, or one of ``anchor``, lies near them on nearly the same offset. A stretch is a chain of matches, each at most
     DRIFT words after the one before in both texts; the longest chains are taken first, on item positions not yet taken.
     """
-    if not rare.any():
+    anchor = rare if anchor is None else rare | anchor
+    if not anchor.any():
         return []
-    ri, rj = i[rare], j[rare]
+    ri, rj = i[anchor], j[anchor]
     near = np.zeros(len(i), bool)
     for a in range(0, len(i), 4096):
         s = slice(a, a + 4096)
@@ -116,7 +170,7 @@ def stretches(i: np.ndarray, j: np.ndarray, rare: np.ndarray) -> list[tuple[int,
     o = np.lexsort((i, j))
     i, j, rare = i[o], j[o], rare[o]
     n = len(i)
-    score, rares, first, prev = np.ones(n, np.int64), rare.astype(np.int64), i.copy(), np.full(n, -1)
+    score, rares, first, begin = np.ones(n, np.int64), rare.astype(np.int64), i.copy(), j.copy()
     low = np.searchsorted(j, j - DRIFT)
     for k in range(n):
         a = np.arange(low[k], k)
@@ -124,7 +178,7 @@ def stretches(i: np.ndarray, j: np.ndarray, rare: np.ndarray) -> list[tuple[int,
         if len(a):
             # more matches first, then the straighter chain
             b = a[np.lexsort((-np.abs((j[a] - i[a]) - (j[k] - i[k])), score[a]))[-1]]
-            score[k], rares[k], first[k], prev[k] = score[b] + 1, rares[b] + int(rare[k]), first[b], b
+            score[k], rares[k], first[k], begin[k] = score[b] + 1, rares[b] + int(rare[k]), first[b], begin[b]
     taken: set[int] = set()
     out = []
     for k in np.argsort(-score, kind="stable"):
@@ -132,7 +186,7 @@ def stretches(i: np.ndarray, j: np.ndarray, rare: np.ndarray) -> list[tuple[int,
         if len(covered & taken) * 2 > len(covered):
             continue
         taken |= covered
-        out.append((int(first[k]), int(i[k]), int(score[k]), int(rares[k]), int(i[k] - first[k] + 1 - score[k])))
+        out.append((int(first[k]), int(i[k]), int(score[k]), int(rares[k]), int(i[k] - first[k] + 1 - score[k]), int(begin[k]), int(j[k])))
     return out
 
 
@@ -142,39 +196,57 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     ``share``: the item's words in aligned stretches of PIECE words or more / all its words; ``longest``: words of the
     longest stretch; ``exact``: it has no gap. A pair is reported from STRETCH words in one stretch or a share of WHOLE,
     where at least MATCHED of a stretch's words and of its rare terms match (so texts made on the item's pattern, and
-    stock phrases, don't count). Items without rare terms are found by no method of wording and have no pairs. NULL and
-    blank texts on either side give none; repeated documents are each reported; empty tables give no rows.
+    stock phrases, don't count). A stretch with fewer than two rare matches counts if it has STRETCH words (or is the
+    whole of a shorter item), STRICT of them match, at most one rare term differs, and at least half of its exact phrases
+    are the item's own. NULL and blank texts on either side give none; repeated documents are each reported, and so are
+    different texts under one id; empty tables give no rows.
     """
     spark = docs.sparkSession
     item = _item_terms(items, item_id, item_text)
     if not len(item):
         return spark.createDataFrame([], "doc_id bigint, item_id bigint, share double, longest int, exact boolean")
-    index = written(positional_index(docs, set(item["term"]), doc_id, text), "postings")
-    frequency = {r["term"]: r["n"] for r in index.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most the items' vocabulary
-    total = max(docs.count(), 1)
-    in_items = item.drop_duplicates(["item_id", "term"]).groupby("term").size()
+    copies = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.unhex(F.md5(F.col(text))).alias("hash"), F.col(text).alias("text"))
+    vocabulary = {t: k + 1 for k, t in enumerate(item["term"].unique())}
     least = max(4, RARE_ITEMS * item["item_id"].nunique())
+    ids = item["term"].map(vocabulary).to_numpy()
+    of, pos = item["item_id"].to_numpy(), item["pos"].to_numpy()
+    keys = np.r_[_phrase_keys(ids), np.zeros(min(PHRASE - 1, len(ids)), np.uint64)]
+    whole = np.zeros(len(ids), bool)  # a phrase begins here that doesn't reach into the next item
+    n = max(0, len(ids) - PHRASE + 1)
+    whole[:n] = (of[:n] == of[PHRASE - 1 :]) & (pos[:n] + PHRASE - 1 == pos[PHRASE - 1 :])
+    item["phrase"] = keys
+    has = item[whole].drop_duplicates(["item_id", "phrase"]).groupby("phrase").size()
+    phrases = np.sort(has[has <= least].index.to_numpy().astype(np.uint64))
+    item["own"] = whole & np.isin(keys, phrases)
+    item["phrase"] = np.searchsorted(phrases, keys)
+
+    # postings of the different texts only: frequencies count neither copies nor what is quoted from an item
+    index = written(positional_index(copies.groupBy("hash").agg(F.first("text").alias("text")), vocabulary, "hash", "text", phrases), "postings").withColumnRenamed("doc_id", "hash")
+    frequency = {r["term"]: r["n"] for r in index.filter(~F.col("term").startswith(" ")).groupBy("term").agg(F.sum(F.when(F.col("quoted"), 0).otherwise(1)).alias("n")).collect()}  # at most the items' vocabulary
+    total = max(copies.select("hash").distinct().count(), 1)
+    in_items = item.drop_duplicates(["item_id", "term"]).groupby("term").size()
     item["rare"] = (item["term"].map(in_items) <= least) & (item["term"].map(frequency).fillna(0) <= max(10, RARE_DOCS * total))
 
-    seeds = spark.createDataFrame(_seeds(item, frequency), "item_id bigint, pos int, term string")
-    hits = index.join(F.broadcast(seeds), "term").select("doc_id", "item_id", "pos", F.explode("positions").alias("at"))
+    seeds = spark.createDataFrame(_seeds(item, frequency), "item_id bigint, pos int, term string, alone boolean")
+    hits = index.join(F.broadcast(seeds), "term").select("hash", "item_id", "pos", "alone", F.explode("positions").alias("at"))
     slot = F.explode(F.array(F.floor((F.col("at") - F.col("pos")) / (2 * DRIFT)) * 2, F.floor((F.col("at") - F.col("pos") + DRIFT) / (2 * DRIFT)) * 2 + 1))
-    meet = hits.select("doc_id", "item_id", "pos", slot.alias("slot")).groupBy("doc_id", "item_id", "slot").agg(F.min("pos").alias("a"), F.max("pos").alias("b"))
-    candidates = written(meet.filter(F.col("a") < F.col("b")).select("doc_id", "item_id").distinct(), "candidates")
+    meet = hits.select("hash", "item_id", "pos", "alone", slot.alias("slot")).groupBy("hash", "item_id", "slot").agg(F.min("pos").alias("a"), F.max("pos").alias("b"), F.max("alone").alias("alone"))
+    candidates = written(meet.filter((F.col("a") < F.col("b")) | F.col("alone")).select("hash", "item_id").distinct(), "candidates")
 
     lists = item.groupby(["item_id", "term"], sort=False).agg(item_positions=("pos", list), rare=("rare", "first")).reset_index()
     terms = spark.createDataFrame(lists, "item_id bigint, term string, item_positions array<int>, rare boolean")
     words = {int(k): int(v) for k, v in item.groupby("item_id").size().items()}
     rare_at = {int(k): v.to_numpy() for k, v in item[item["rare"]].groupby("item_id")["pos"]}
+    own_at = {int(k): v.to_numpy() for k, v in item[item["own"]].groupby("item_id")["pos"]}
     wanted = candidates.join(F.broadcast(terms), "item_id")
     if candidates.count() <= BROADCAST_PAIRS:  # few documents are candidates: the others' postings need not move
-        index = index.join(F.broadcast(candidates.select("doc_id").distinct()), "doc_id", "left_semi")
-    both = wanted.join(index, ["doc_id", "term"]).groupBy("doc_id", "item_id").agg(F.collect_list(F.struct("item_positions", "positions", "rare")).alias("m"))
+        index = index.join(F.broadcast(candidates.select("hash").distinct()), "hash", "left_semi")
+    both = wanted.join(index, ["hash", "term"]).groupBy("hash", "item_id").agg(F.collect_list(F.struct("item_positions", "positions", "rare")).alias("m"))
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for d, it, matches in zip(frame["doc_id"], frame["item_id"], frame["m"]):
+            for d, it, matches in zip(frame["hash"], frame["item_id"], frame["m"]):
                 ii, jj, rr = [], [], []
                 for m in matches:
                     a, b = np.asarray(m["item_positions"]), np.asarray(m["positions"])
@@ -184,17 +256,27 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
                 covered = longest = 0
                 exact = False
                 rares = rare_at.get(it, np.zeros(0))
-                for a, b, matched, rare, gaps in stretches(np.concatenate(ii), np.concatenate(jj), np.concatenate(rr)):
+                i, j = np.concatenate(ii), np.concatenate(jj)
+                own = np.zeros(int(i.max()) + 1, bool)
+                mine = own_at.get(it, np.zeros(0, np.int64))
+                own[mine[mine < len(own)]] = True
+                begins, anchor = _met(i, j, own)
+                for a, b, matched, rare, gaps, ja, jb in stretches(i, j, np.concatenate(rr), anchor):
                     size = b - a + 1
                     inside = int(((rares >= a) & (rares <= b)).sum())
-                    if size < PIECE or matched < MATCHED * size or rare < 2 or rare < MATCHED * inside:
+                    if size < PIECE or matched < MATCHED * size:
                         continue
+                    if rare < 2 or rare < MATCHED * inside:
+                        met = own[np.unique(i[begins & (i >= a) & (i + PHRASE - 1 <= b) & (j >= ja) & (j + PHRASE - 1 <= jb)])]
+                        if size < min(STRETCH, words[it]) or matched < STRICT * size or inside - rare > 1 or not met.any() or 2 * met.sum() < len(met):
+                            continue
                     covered += size
                     if size > longest:
                         longest, exact = size, gaps == 0
                 share = min(1.0, covered / words[it])
                 if longest >= STRETCH or share >= WHOLE:
                     out.append((d, it, share, longest, exact))
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "share", "longest", "exact"])
+            yield pd.DataFrame(out, columns=["hash", "item_id", "share", "longest", "exact"])
 
-    return both.mapInPandas(check, "doc_id bigint, item_id bigint, share double, longest int, exact boolean")
+    found = both.mapInPandas(check, "hash binary, item_id bigint, share double, longest int, exact boolean")
+    return copies.select("doc_id", "hash").distinct().join(found, "hash").select("doc_id", "item_id", "share", "longest", "exact")

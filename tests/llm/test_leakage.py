@@ -73,3 +73,29 @@ def test_leaks_and_traps(spark):
     assert next(r for r in got if (r["doc_id"], r["item_id"]) == (0, 0))["exact"]
     assert L.leaked_items(df.limit(0), table).count() == 0
     assert L.leaked_items(df, table.limit(0)).count() == 0
+
+
+def test_widely_leaked_items(spark):
+    items = {k: make(k) for k in range(40)}
+    rows = [(k, " ".join(s) + (" " + STOCK if k % 2 else "")) for k, s in items.items()]
+    docs, want = [], set()
+
+    def doc(text, *hits):
+        docs.append((len(docs), text))
+        want.update((len(docs) - 1, h) for h in hits)
+
+    for _ in range(40):
+        doc(FILL + rows[0][1], 0)  # copies
+    doc(FILL + "Other words. " + items[0][1], 0)  # a part of the same, outside the copies
+    for k in range(40):
+        doc(f"Number {k} of many. " + FILL * (k % 3) + rows[1][1], 1)  # all different
+    doc(FILL + rows[1][1].replace("linen", "woolen"), 1)
+    doc(" ".join("else" if n % 4 == 3 else w for n, w in enumerate(rows[1][1].split())), 1)  # hardly any phrase is left
+    doc(FILL + " ".join(items[1][0].split()[:6]) + ". " + FILL)  # a quotation of a few words
+    for k in range(100, 140):
+        doc(FILL + " ".join(make(k)))
+        doc(FILL + STOCK)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = L.leaked_items(df, spark.createDataFrame(rows, "item_id bigint, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want
+    assert len(got) == len(want)
