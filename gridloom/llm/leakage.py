@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,7 @@ from gridloom.shared import written
 
 WINDOW = 13  # words of the stretches that must not be missed
 SEEDS = 5  # rarest terms per window that open candidates; two of them must meet
-FEW = 2  # in windows with fewer rare terms a single phrase opens a candidate
+FEW = 3  # in windows with fewer rare terms a single phrase opens a candidate: one of the two that must meet may be changed
 PHRASE = 5  # words of a phrase; it is an item's own if at most RARE_ITEMS of the items have it
 DRIFT = 4  # words by which offsets may differ within a stretch
 RARE_ITEMS = 0.02  # a rare term is in at most this share of the items ...
@@ -94,11 +95,12 @@ def positional_index(docs: DataFrame, vocabulary: dict[str, int] | None = None,
                 own: dict[str, list[int]] = {}
                 words = tokens(t)
                 within: set[str] = set()
+                numbers = None if keep is None else list(map(keep.get, words, repeat(0)))
                 for k, w in enumerate(words):
-                    if keep is None or w in keep:
+                    if numbers is None or numbers[k]:
                         own.setdefault(w, []).append(k)
                 if known is not None and len(known) and len(words) >= PHRASE:
-                    keys = _phrase_keys(np.array([keep.get(w, 0) for w in words]))
+                    keys = _phrase_keys(np.array(numbers))
                     at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
                     for k in np.flatnonzero(known[at] == keys).tolist():
                         own.setdefault(f" {at[k]}", []).append(k)

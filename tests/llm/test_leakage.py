@@ -99,3 +99,19 @@ def test_widely_leaked_items(spark):
     got = L.leaked_items(df, spark.createDataFrame(rows, "item_id bigint, text string")).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == want
     assert len(got) == len(want)
+
+
+def test_stretches_of_common_words(spark):
+    rng = np.random.default_rng(3)
+    common = [a + b for a in ("ba", "de", "fi", "go", "lu", "ma") for b in ("n", "r", "st", "t", "x", "mp", "sk")]
+    shuffled = lambda n: rng.permutation(common).tolist()[:n]
+    items = [shuffled(15) for _ in range(4)]
+    items[1][7] = "zyxo"
+    items[2][4], items[2][10] = "wuvi", "qopa"
+    changed = [w if w != "wuvi" else "else" for w in items[2]]
+    gaps = [w if n % 3 else "else" for n, w in enumerate(items[3])]
+    docs = [(n, " ".join([*shuffled(40), *stretch, *shuffled(40)])) for n, stretch in enumerate([items[0], items[1], items[2], changed, gaps, items[3][:9]])]
+    docs += [(n, " ".join(shuffled(42) + shuffled(42))) for n in range(10, 70)]
+    table = spark.createDataFrame([(n, " ".join(w)) for n, w in enumerate(items)], "item_id bigint, text string")
+    got = L.leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), table).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(0, 0), (1, 1), (2, 2), (3, 2)}
