@@ -5,10 +5,12 @@ Every source's readings are compared with its own behaviour:
 * residual = log(reading) - local level - hour-of-day effect. The local level is the median of the source's 32
   consecutive positive readings around it, so lasting level changes and the daily rhythm are taken out.
 * Peaks over threshold: exceedances of a high threshold, declustered (neighbouring exceedances count once), are fitted
-  with a generalized Pareto tail by moments (trimmed against contamination; the shape is that of all sources together,
-  a source's scale is shrunk towards theirs), and the cutoff is where a source's tail has probability RISK.
+  with a generalized Pareto tail by moments (trimmed against contamination). Scale and shape are each source's own, shrunk:
+  the scale towards that of all sources by PRIOR exceedances, the shape towards PRIOR_SHAPE by SHAPE_WEIGHT exceedances. The
+  cutoff is where the source's tail has probability RISK, and nothing else decides about spikes.
 * A source with at least LEAST_BURSTS bursts (residuals of all of a tick's readings beyond BURST, declustered) that are at
   least BURST_SHARE of its ticks has bursts as its habit; its threshold then is the median of these bursts, otherwise the 90 % point of all residuals.
+* Drops are the same on the other tail, with the residuals' sign turned: idle draws are a habit as bursts are.
 * Stuck: a run of equal readings much longer than the source's other runs, on a value it hardly has elsewhere.
 * Physical: a reading below zero.
 
@@ -36,10 +38,10 @@ BURST_SHARE = 0.05
 LEAST_BURSTS = 3
 BULK_QUANTILE = 0.9
 TRIM = float(np.log(4.0))  # excesses beyond are set aside when the tail is fitted
-MOST_SHAPE = 0.5  # a shape below 0 (a bounded tail) is not used: 0 is the cautious choice
 PRIOR = 10.0  # weight of all sources' scale, in exceedances
-RISK = 1e-3
-LEAST_FACTOR = 5.0  # below this multiple of the local level nothing is implausible
+PRIOR_SHAPE, SHAPE_WEIGHT = -0.15, 300.0  # shape a source has before it is seen, and its weight in exceedances
+LEAST_SHAPE, MOST_SHAPE = -0.2, 0.5  # moments of trimmed, binned excesses are no evidence of a shorter tail than that
+RISK = 1e-5  # of a normal reading to lie beyond its source's cutoff
 LEAST_TICKS = 30
 STUCK_LENGTH = 9
 STUCK_RATIO = 2.5  # against the source's longest other run
@@ -89,8 +91,23 @@ def residuals(value: np.ndarray, segment: np.ndarray, hour: np.ndarray) -> np.nd
     return r - effect[cell]
 
 
-def _segments(t: pa.Table, piece: int, cut: bool, metrics: int) -> Iterator[pa.RecordBatch]:
-    """All results of complete (source, chunk) segments, or of one ``piece`` of a segment that is ``cut``."""
+def _exceedances(r: np.ndarray, segment: np.ndarray) -> np.ndarray:
+    """Which residuals are peaks: above their segment's BULK_QUANTILE, or beyond BURST."""
+    if not len(r):
+        return np.zeros(0, bool)
+    seg = np.unique(segment, return_inverse=True)[1]
+    order = np.lexsort((r, seg))
+    size = np.bincount(seg)
+    at = np.minimum(size - 1, np.ceil(BULK_QUANTILE * size).astype(np.int64) - 1)
+    bulk = r[order][np.cumsum(size) - size + np.maximum(at, 0)]
+    return (r > np.minimum(bulk[seg], BURST)) & (r > 0)
+
+
+def _segments(t: pa.Table, piece: int, cut: bool, metrics: int, sides: int) -> Iterator[pa.RecordBatch]:
+    """All results of complete (source, chunk) segments, or of one ``piece`` of a segment that is ``cut``.
+
+    Peaks of the lower tail (``sides`` 2) have the metric's number plus ``metrics``.
+    """
     n = t.num_rows
     source = t.column("source").combine_chunks().dictionary_encode()
     names, src = source.dictionary, source.indices.to_numpy().astype(np.int64)
@@ -128,7 +145,7 @@ def _segments(t: pa.Table, piece: int, cut: bool, metrics: int) -> Iterator[pa.R
 
     # a burst raises all of a tick's readings together, a fault of the meter often only one
     taken: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-    positive, high_ones = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    positive, high_ones = np.zeros(len(at), np.int64), np.zeros((sides, len(at)), np.int64)
     for metric in range(metrics):
         column = t.column(f"m{metric}").combine_chunks()
         there = column.is_valid().to_numpy(zero_copy_only=False)[at]
@@ -144,23 +161,27 @@ def _segments(t: pa.Table, piece: int, cut: bool, metrics: int) -> Iterator[pa.R
         pos = np.flatnonzero(there & (v > 0) & (~dull | usual[seg]))
         r = residuals(v[pos], seg[pos], (np.maximum(ts1[pos], 0) // 3600) % 24)
         positive[pos] += 1
-        high_ones[pos[r > BURST]] += 1
+        for side in range(sides):
+            high_ones[side, pos[(r if side == 0 else -r) > BURST]] += 1
         taken.append((there, v, pos, r, on, change, start, length))
     joint = high_ones == positive
 
     for metric, (there, v, pos, r, on, change, start, length) in enumerate(taken):
-        high = r > BURST
-        again = np.r_[False, high[:-1] & (seg[pos][1:] == seg[pos][:-1])] & high if len(pos) else high
-        bins = np.clip(np.floor(r * BINS), -1, 60 * BINS).astype(np.int64)
-        key, count = np.unique((seg[pos] * 4096 + bins + 1)[~again] * 2 + (high & joint[pos])[~again], return_counts=True)
-        s = seg_start[key // 8192]
-        yield batch(HISTOGRAM, src[s], chunk[s], metric=np.full(len(key), metric), bin=key // 2 % 4096 - 1, n=count, run=key % 2)
-
-        flagged = np.full(len(at), np.nan)
-        flagged[pos] = np.where(r > np.log(LEAST_FACTOR), r, np.nan)
-        flagged[there & (v < 0)] = np.inf
-        rows = np.flatnonzero(~np.isnan(flagged[owner]))
-        yield batch(CANDIDATE, src[rows], chunk[rows], metric=np.full(len(rows), metric), id=ids[rows], r=flagged[owner[rows]])
+        for side in range(sides):
+            x, number = (r, metric) if side == 0 else (-r, metric + metrics)
+            high = x > BURST
+            again = np.r_[False, high[:-1] & (seg[pos][1:] == seg[pos][:-1])] & high if len(pos) else high
+            bins = np.clip(np.floor(x * BINS), -1, 60 * BINS).astype(np.int64)
+            key, count = np.unique((seg[pos] * 4096 + bins + 1)[~again] * 2 + (high & joint[side, pos])[~again], return_counts=True)
+            s = seg_start[key // 8192]
+            yield batch(HISTOGRAM, src[s], chunk[s], metric=np.full(len(key), number), bin=key // 2 % 4096 - 1, n=count, run=key % 2)
+
+            flagged = np.full(len(at), np.nan)
+            flagged[pos] = np.where(_exceedances(x, seg[pos]), x, np.nan)
+            if side == 0:
+                flagged[there & (v < 0)] = np.inf
+            rows = np.flatnonzero(~np.isnan(flagged[owner]))
+            yield batch(CANDIDATE, src[rows], chunk[rows], metric=np.full(len(rows), number), id=ids[rows], r=flagged[owner[rows]])
 
         if not len(on):
             continue
@@ -203,7 +224,7 @@ def _segments(t: pa.Table, piece: int, cut: bool, metrics: int) -> Iterator[pa.R
         yield batch(MEMBER, src[rows], chunk[rows], metric=np.full(len(rows), metric), id=ids[rows], run=member[rows])
 
 
-def _stream(batches: Iterator[pa.RecordBatch], metrics: int) -> Iterator[pa.RecordBatch]:
+def _stream(batches: Iterator[pa.RecordBatch], metrics: int, sides: int) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
     rows = piece = 0
 
@@ -229,18 +250,18 @@ def _stream(batches: Iterator[pa.RecordBatch], metrics: int) -> Iterator[pa.Reco
                 codes = src.combine_chunks().dictionary_encode().indices.to_numpy()
                 new = np.flatnonzero((codes[1:] != codes[:-1]) | (chunk[1:] != chunk[:-1]))
                 end = int(new[0] + 1) if len(new) else before.num_rows
-                yield from _segments(before.slice(0, end), piece, True, metrics)
+                yield from _segments(before.slice(0, end), piece, True, metrics, sides)
                 before = before.slice(end)
                 piece = 0
             if before.num_rows:
-                yield from _segments(before, 0, False, metrics)
+                yield from _segments(before, 0, False, metrics, sides)
             held, rows = t.slice(cut).to_batches(), t.num_rows - cut
         elif rows >= PIECE_ROWS:
             event = t.column("event").to_numpy()
             end = t.num_rows - 1
             while end > 1 and event[end] == event[end - 1]:
                 end -= 1
-            yield from _segments(t.slice(0, end), piece, True, metrics)
+            yield from _segments(t.slice(0, end), piece, True, metrics, sides)
             piece += 1
             held, rows = t.slice(end).to_batches(), t.num_rows - end
     if rows:
@@ -249,26 +270,27 @@ def _stream(batches: Iterator[pa.RecordBatch], metrics: int) -> Iterator[pa.Reco
             src, chunk = t.column("source").combine_chunks().dictionary_encode().indices.to_numpy(), t.column("chunk").to_numpy()
             new = np.flatnonzero((src[1:] != src[:-1]) | (chunk[1:] != chunk[:-1]))
             end = int(new[0] + 1) if len(new) else t.num_rows
-            yield from _segments(t.slice(0, end), piece, True, metrics)
+            yield from _segments(t.slice(0, end), piece, True, metrics, sides)
             t = t.slice(end)
         if t.num_rows:
-            yield from _segments(t, 0, False, metrics)
+            yield from _segments(t, 0, False, metrics, sides)
 
 
-def scan_sources(df: DataFrame, source: str, time: str, event: str, row: str, metrics: Sequence[str]) -> DataFrame:
-    """The streamed pass: histograms, candidates, runs and their members, written as one table."""
+def scan_sources(df: DataFrame, source: str, time: str, event: str, row: str, metrics: Sequence[str], drops: bool = False) -> DataFrame:
+    """The streamed pass: histograms, candidates, runs and their members, written as one table with a folder for each kind."""
     e = F.xxhash64(F.coalesce(F.col(event).cast("string"), F.concat(F.lit("\0"), F.col(row).cast("string"))))
     rows = df.filter(F.col(source).isNotNull()).select(
         F.col(source).alias("source"), F.coalesce(F.col(time), F.lit(0)).cast("bigint").alias("ts"), e.alias("event"), F.col(row).cast("bigint").alias("id"), *(F.col(m).cast("bigint").alias(f"m{i}") for i, m in enumerate(metrics))
     )
     per = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("ts") > 0, F.col("ts"))).alias("lo"), F.max("ts").alias("hi"))
     least = max(CHUNK_ROWS, rows.count() // HEAVY_PARTS)
-    heavy = per.filter(F.col("n") > least).select("source", "lo", ((F.col("hi") - F.col("lo") + 1) / F.ceil(F.col("n") / least)).alias("width"))
-    at = F.floor((F.greatest("ts", "lo") - F.col("lo")) / F.col("width")).cast("int")
-    rows = rows.join(F.broadcast(heavy), "source", "left").select("source", F.coalesce(at, F.lit(0)).alias("chunk"), F.col("width").isNotNull().alias("many"), "ts", "event", "id", *(f"m{i}" for i in range(len(metrics))))
+    heavy = per.filter(F.col("n") > least).select("source", "lo", F.ceil(F.col("n") / least).alias("chunks"), ((F.col("hi") - F.col("lo") + 1) / F.ceil(F.col("n") / least)).alias("width"))
+    # ticks without a time belong to no chunk in particular: they are spread by event
+    at = F.when(F.col("ts") > 0, F.floor((F.col("ts") - F.col("lo")) / F.col("width"))).otherwise(F.pmod("event", "chunks")).cast("int")
+    rows = rows.join(F.broadcast(heavy), "source", "left").select("source", F.coalesce(at, F.lit(0)).alias("chunk"), F.col("chunks").isNotNull().alias("many"), "ts", "event", "id", *(f"m{i}" for i in range(len(metrics))))
     sorted_rows = rows.repartition("source", "chunk").sortWithinPartitions("source", "chunk", "ts", "event", "id")
-    count = len(metrics)
-    return written(sorted_rows.mapInArrow(lambda it: _stream(it, count), _SCHEMA), "sources")
+    count, sides = len(metrics), 2 if drops else 1
+    return written(sorted_rows.mapInArrow(lambda it: _stream(it, count, sides), _SCHEMA), "sources", ["kind"])
 
 
 def tail_cutoffs(scan: DataFrame) -> DataFrame:
@@ -287,18 +309,20 @@ def tail_cutoffs(scan: DataFrame) -> DataFrame:
     per = h.groupBy("source", "metric", "bursty", "total", "u").agg(
         F.sum(F.when(fit, F.col("n") * y).otherwise(0.0)).alias("sum_y"), F.sum(F.when(fit, F.col("n") * y * y).otherwise(0.0)).alias("sum_yy"), F.sum(F.when(fit, F.col("n")).otherwise(0)).alias("n_y"), F.sum(F.when(y > 0, F.col("n")).otherwise(0)).alias("above")
     )
-    # moments of all sources' excesses give the tail's shape, and the mean that a source's own is shrunk towards
-    mean, square = F.sum("sum_y") / F.greatest(F.sum("n_y"), F.lit(1)), F.sum("sum_yy") / F.greatest(F.sum("n_y"), F.lit(1))
-    pool = per.groupBy("bursty", "metric").agg(mean.alias("mean0"), square.alias("square0"))
-    spread = F.greatest(F.col("square0") - F.col("mean0") * F.col("mean0"), F.lit(1e-9))
-    shape = F.least(F.greatest(0.5 * (1 - F.col("mean0") * F.col("mean0") / spread), F.lit(0.0)), F.lit(MOST_SHAPE))
-    per = per.join(F.broadcast(pool.withColumn("shape", shape)), ["bursty", "metric"])
+    # the mean that a source's own is shrunk towards, and the source's own shape from its excesses' mean and spread
+    pool = per.groupBy("bursty", "metric").agg((F.sum("sum_y") / F.greatest(F.sum("n_y"), F.lit(1))).alias("mean0"))
+    per = per.join(F.broadcast(pool), ["bursty", "metric"])
+    n = F.greatest("n_y", F.lit(1))
+    mean = F.col("sum_y") / n
+    spread = F.greatest(F.col("sum_yy") / n - mean * mean, F.lit(1e-9))
+    own = F.greatest(F.least(0.5 * (1 - mean * mean / spread), F.lit(MOST_SHAPE)), F.lit(-2.0))
+    shape = (F.when(F.col("n_y") > 1, F.col("n_y") * own).otherwise(F.col("n_y") * PRIOR_SHAPE) + SHAPE_WEIGHT * PRIOR_SHAPE) / (F.col("n_y") + SHAPE_WEIGHT)
+    per = per.withColumn("shape", F.greatest(F.least(shape, F.lit(MOST_SHAPE)), F.lit(LEAST_SHAPE)))
     scale = (F.col("sum_y") + PRIOR * F.col("mean0")) / (F.col("n_y") + PRIOR) * (1 - F.col("shape"))
     share = F.greatest(F.col("above"), F.lit(1)) / F.col("total")
     times = F.greatest(F.log(share / RISK), F.lit(0.0))
-    beyond = F.when(F.col("shape") > 1e-6, (F.exp(times * F.col("shape")) - 1) / F.col("shape")).otherwise(times)
-    cut = F.col("u") + scale * beyond
-    return per.select("source", "metric", "bursty", "u", scale.alias("scale"), F.greatest(cut, F.lit(float(np.log(LEAST_FACTOR)))).alias("cut"))
+    beyond = F.when(F.abs("shape") > 1e-6, (F.exp(times * F.col("shape")) - 1) / F.col("shape")).otherwise(times)
+    return per.select("source", "metric", "bursty", "u", "shape", scale.alias("scale"), (F.col("u") + scale * beyond).alias("cut"))
 
 
 def stuck_rows(scan: DataFrame) -> DataFrame:
@@ -328,19 +352,21 @@ def stuck_rows(scan: DataFrame) -> DataFrame:
     return scan.filter(F.col("kind") == MEMBER).select(*place, "id").join(pieces, place).select("source", "id", "metric")
 
 
-def implausible_rows(df: DataFrame, source: str, time: str, event: str, row: str, metrics: Sequence[str]) -> DataFrame:
-    """(id, source, metric, reason): rows with a spiking, impossible or stuck reading.
+def implausible_rows(df: DataFrame, source: str, time: str, event: str, row: str, metrics: Sequence[str], drops: bool = False) -> DataFrame:
+    """(id, source, metric, reason): rows with a spiking, impossible or stuck reading; with ``drops`` also those far below.
 
     ``df``: delivered rows; repeated deliveries of an ``event`` count once in all statistics and are flagged together.
     ``time``: epoch seconds, NULL if unknown (such a tick takes part in all but the stretches). Sources with fewer than
     LEAST_TICKS different ticks have no cases; NULL sources are left out; NULL readings are no readings (they neither
-    break nor count in a stretch). A row may have several reasons; an empty table gives none.
+    break nor count in a stretch). A row may have several reasons; an empty table gives none. Reasons: 'spike', 'drop'
+    (a positive reading beyond the lower tail's cutoff), 'impossible' (below zero), 'stuck'.
     """
-    scan = scan_sources(df, source, time, event, row, metrics)
+    scan = scan_sources(df, source, time, event, row, metrics, drops)
     enough = scan.filter(F.col("kind") == TICKS).groupBy("source").agg(F.sum("n").alias("ticks")).filter(F.col("ticks") >= LEAST_TICKS).select("source")
     peaks = scan.filter(F.col("kind") == CANDIDATE).select("source", "metric", "id", "r").join(tail_cutoffs(scan).select("source", "metric", "cut"), ["source", "metric"], "left")
     impossible = F.col("r") == float("inf")
-    peaks = peaks.filter(impossible | (F.col("r") > F.col("cut"))).select("source", "id", "metric", F.when(impossible, "impossible").otherwise("spike").alias("reason"))
+    reason = F.when(impossible, "impossible").when(F.col("metric") < len(metrics), "spike").otherwise("drop")
+    peaks = peaks.filter(impossible | (F.col("r") > F.col("cut"))).select("source", "id", (F.col("metric") % len(metrics)).alias("metric"), reason.alias("reason"))
     found = peaks.unionByName(stuck_rows(scan).withColumn("reason", F.lit("stuck")))
     names: Column = F.element_at(F.array(*(F.lit(m) for m in metrics)), F.col("metric") + 1)
     return found.join(enough, "source", "left_semi").select("id", F.col("source").alias(source), names.alias("metric"), "reason")

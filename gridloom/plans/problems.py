@@ -48,19 +48,28 @@ def p3_key_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skew.key_profiles(clean_ticks(spark, sf_dir), ["consumer", "operator"], "units_drawn", (0.5, 0.9))
 
 
-def p5_implausible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every implausible reading with its reason."""
+def _p5(spark: SparkSession, sf_dir: str, drops: bool) -> DataFrame:
     ticks = clean_ticks(spark, sf_dir).filter(F.col("consumer") != "")
-    return outliers.implausible_rows(ticks, "consumer", "time", "event_id", "id", ["units_drawn", "cost"])
+    return outliers.implausible_rows(ticks, "consumer", "time", "event_id", "id", ["units_drawn", "cost"], drops)
+
+
+def p5_implausible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every implausible reading with its reason, readings far below the source's others included."""
+    return _p5(spark, sf_dir, True)
+
+
+def p5_impossible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The readings that no meter can deliver."""
+    return _p5(spark, sf_dir, False).filter(F.col("reason") == "impossible")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each row of utility_ticks with at least one implausible reading."""
-    return p5_implausible(spark, sf_dir).select("id").distinct()
+    """Each row of utility_ticks with at least one implausible reading: far above, impossible or stuck (idle draws are usual)."""
+    return _p5(spark, sf_dir, False).select("id").distinct()
 
 
 QUERIES = {
-    f.__name__: f for f in (p1_trailing_totals, p2_features, p2_features_long, p3_found, p3_key_profiles, p5_found, p5_implausible)
+    f.__name__: f for f in (p1_trailing_totals, p2_features, p2_features_long, p3_found, p3_key_profiles, p5_found, p5_implausible, p5_impossible)
 }
 
 CLEAN_SQL = r"""
@@ -140,9 +149,15 @@ LEFT JOIN b USING (key_field, key_value)
 LEFT JOIN (SELECT * FROM pct WHERE q = 0.5) x USING (key_field, key_value)
 LEFT JOIN (SELECT * FROM pct WHERE q = 0.9) y USING (key_field, key_value)"""
 
+_P5_SQL = f"""WITH {CLEAN_SQL},
+enough AS (SELECT consumer FROM ticks GROUP BY consumer HAVING count(*) >= 30)
+SELECT id, consumer, 'units_drawn' AS metric, 'impossible' AS reason FROM clean WHERE units_drawn < 0 AND consumer <> '' AND consumer IN (FROM enough)
+UNION ALL SELECT id, consumer, 'cost', 'impossible' FROM clean WHERE cost < 0 AND consumer <> '' AND consumer IN (FROM enough)"""
+
 ORACLES = {
     "p1_trailing_totals": _trailing_sql(),
     "p2_features_long": _P2_SQL,
     "p3_found": _P3_FOUND_SQL,
     "p3_key_profiles": _P3_SQL,
+    "p5_impossible": _P5_SQL,
 }

@@ -79,3 +79,34 @@ def test_stuck_whatever_the_chunks(spark, monkeypatch, chunk, habit):
 def test_empty(spark):
     df = spark.createDataFrame([], "id bigint, event string, source string, ts bigint, u bigint")
     assert outliers.implausible_rows(df, "source", "ts", "event", "id", ["u"]).count() == 0
+
+
+def test_drops_and_the_fitted_tail(spark):
+    rng = np.random.default_rng(8)
+    rows, spikes, drops = [], set(), set()
+    for s, noise in enumerate([0.05] * 4 + [0.3] * 4):
+        for t in range(400):
+            i = len(rows) + 1
+            u = 50_000 * float(np.exp(rng.normal(0, noise)))
+            if s % 4 == 1 and t == 200:
+                u *= 12
+                spikes.add(i)
+            if s % 4 == 2 and t == 200:
+                u /= 12
+                drops.add(i)
+            if s % 4 == 3 and t % 9 == 0:
+                u /= rng.uniform(6, 20)  # idle draws are a habit
+            rows.append((i, f"e{i}", f"S{s}", 1_735_700_000 + t * 9_000, int(u)))
+    df = spark.createDataFrame(rows, "id bigint, event string, source string, ts bigint, u bigint")
+    got = outliers.implausible_rows(df, "source", "ts", "event", "id", ["u"], drops=True).collect()
+    assert {r["id"] for r in got if r["reason"] == "spike"} == spikes and {r["id"] for r in got if r["reason"] == "drop"} == drops
+    assert {r["id"] for r in outliers.implausible_rows(df, "source", "ts", "event", "id", ["u"]).collect()} == spikes
+    cuts = {r["source"]: r for r in outliers.tail_cutoffs(outliers.scan_sources(df, "source", "ts", "event", "id", ["u"])).collect()}
+    assert max(cuts[f"S{s}"]["cut"] for s in range(4)) < min(cuts[f"S{s}"]["cut"] for s in range(4, 8))  # steadier sources have lower cutoffs
+
+
+def test_ticks_of_a_heavy_source_without_time_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(outliers, "CHUNK_ROWS", 100)
+    df = spark.range(2_000).selectExpr("id", "'e' || id AS event", "'a' AS source", "CASE WHEN id % 2 = 0 THEN 1735700000 + id * 100 END AS ts", "1000 + id % 7 AS u")
+    ticks = outliers.scan_sources(df, "source", "ts", "event", "id", ["u"]).filter(f"kind = {outliers.TICKS}").groupBy("chunk").sum("n").collect()
+    assert len(ticks) == 20 and max(r[1] for r in ticks) < 200
