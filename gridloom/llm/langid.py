@@ -5,6 +5,10 @@ language is the sum over its bytes of the cost of coding the byte in the longest
 of an escape for every longer context that is known but lacks the byte (escape method D, orders ORDER to 0, then a
 uniform byte). The trees are held as sorted tables of byte n-grams with one column per language, so code lengths of all
 languages are found together, by array look-ups.
+
+A document is a sequence of sentences, without their links, tags and code; the least-cost path over them, where a change
+of language costs bits, gives its segments. A sentence is divided between words where that alone saves more bits than
+a change inside a sentence costs.
 """
 
 from __future__ import annotations
@@ -18,15 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.prose import sentences, visible
+from gridloom.llm.prose import prose, visible
 
 ORDER = 5
 SWITCH_BITS = 24.0  # cost of a change of language between two sentences
+SWITCH_INSIDE = 60.0  # ... and inside a sentence: names and short quotations don't divide it
 FULL_PASSAGE = 12  # words from which a passage is full: "about fifteen", with room for how words are counted
 TEMPERATURE = 4.0  # code lengths overstate the evidence of dependent bytes by about this factor
 MAX_SAMPLES = 20_000  # bound of the checked samples that are fitted
 MAX_DOCUMENTS = 4_000  # bound of the labelled documents that are fitted besides
 MAX_TEXT = 20_000
+MAX_CHARS = 20_000_000  # bound of the characters that are fitted, of samples and of documents: it bounds the trees, which are broadcast
 DOUBT = 15.0
 
 #: Spellings of the ten languages: two-letter code, three-letter codes, English name.
@@ -50,7 +56,7 @@ def label_code(label: str | None) -> str | None:
     if not label:
         return None
     s = label.strip().lower()
-    return _CODE_OF.get(s) or _CODE_OF.get(re.split(r"[-_ ]", s)[0])
+    return _CODE_OF.get(s) or _CODE_OF.get(re.split(r"[-_\s]", s)[0])
 
 
 _DIGITS = re.compile(r"\d+")
@@ -76,6 +82,43 @@ def _grams(data: bytes, order: int) -> list[np.ndarray]:
     return out
 
 
+class _Slots:
+    """Where each of some different keys stands in their array: open addressing, looked up for many keys at once."""
+
+    EMPTY = np.uint64(2**64 - 1)  # no n-gram of up to seven bytes
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(4, int(len(keys)).bit_length() + 1)
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.index = np.full(1 << bits, self.EMPTY), np.zeros(1 << bits, np.int32)
+        todo, at = np.arange(len(keys)), self._home(keys)
+        while len(todo):
+            free = self.keys[at] == self.EMPTY
+            slot, first = np.unique(at[free], return_index=True)
+            placed = np.flatnonzero(free)[first]
+            self.keys[slot], self.index[slot] = keys[todo[placed]], todo[placed]
+            rest = np.ones(len(todo), bool)
+            rest[placed] = False
+            todo, at = todo[rest], (at[rest] + 1) & self.mask
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Index of every wanted key, -1 where there is none."""
+        at = self._home(wanted)
+        there = self.keys[at]
+        out = np.where(there == wanted, self.index[at], -1)
+        todo = np.flatnonzero((there != wanted) & (there != self.EMPTY))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & self.mask
+            there = self.keys[at[todo]]
+            hit = there == wanted[todo]
+            out[todo[hit]] = self.index[at[todo[hit]]]
+            todo = todo[~hit & (there != self.EMPTY)]
+        return out
+
+
 class FrozenPPM:
     """Frozen context trees of several languages; ``code_lengths`` gives bits per text and language.
 
@@ -94,7 +137,8 @@ class FrozenPPM:
             grams.append(_grams(b" " + b" ".join(v.encode() for v in variants) + b" ", order))
         self.keys: list[np.ndarray] = []
         self.costs: list[np.ndarray] = []
-        self.context_keys: list[np.ndarray] = []
+        self.slots: list[_Slots] = []
+        self.context_slots: list[_Slots] = []
         self.escapes: list[np.ndarray] = []
         for k in range(order + 1):
             own = [np.unique(g[k][k:], return_counts=True) for g in grams]
@@ -110,13 +154,10 @@ class FrozenPPM:
             code = -np.log2(np.maximum(2 * count - 1, 1) / np.maximum(2 * total[of], 1))
             self.keys.append(keys)
             self.costs.append(np.where(count > 0, code, escape[of] + shorter).astype(np.float32))
-            self.context_keys.append(contexts)
+            self.slots.append(_Slots(keys))
+            self.context_slots.append(_Slots(contexts))
             self.escapes.append(escape.astype(np.float32))
-
-    @staticmethod
-    def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        i = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where(keys[i] == wanted, i, -1)
+        del self.keys  # the slots hold them
 
     def byte_costs(self, data: bytes, start: np.ndarray) -> np.ndarray:
         """Bits of every byte (rows) under every language (columns), where texts begin at ``start``.
@@ -133,19 +174,23 @@ class FrozenPPM:
                 break
             far = depth[todo] >= k
             usable = todo[far]
-            found = self._find(self.keys[k], grams[k][usable])
+            found = self.slots[k].find(grams[k][usable])
             hit = found >= 0
             out[usable[hit]] += self.costs[k][found[hit]]
             rest = usable[~hit]
-            context = self._find(self.context_keys[k], grams[k][rest] >> np.uint64(8))
+            context = self.context_slots[k].find(grams[k][rest] >> np.uint64(8))
             known = context >= 0
             out[rest[known]] += self.escapes[k][context[known]]
             todo = np.concatenate([todo[~far], rest])
         out[todo] += 8.0
         return out
 
-    def code_lengths(self, texts: Sequence[str], known: dict[str, np.ndarray] | None = None) -> np.ndarray:
-        """Bits of each text under each language, of all its bytes. ``known`` keeps the bits of sentences seen before."""
+    def scored(self, texts: Sequence[str], known: dict[str, tuple] | None = None) -> list[tuple[np.ndarray, np.ndarray | None]]:
+        """Per text the bits of all its bytes under each language, and those of each word where a division may pay.
+
+        It may pay if the sum of every word's best bits is less than the best language's by more than SWITCH_INSIDE.
+        ``known`` keeps the results of texts seen before.
+        """
         known = {} if known is None else known
         keys = [normal(t) for t in texts]
         new = [k for k in dict.fromkeys(keys) if k not in known]
@@ -153,23 +198,33 @@ class FrozenPPM:
             parts = [b" " + k.encode() for k in new]
             end = np.cumsum([len(p) for p in parts])
             start = end - [len(p) for p in parts]
-            cost = self.byte_costs(b"".join(parts), start).astype(np.float64)
-            known.update(zip(new, np.add.reduceat(cost, start, axis=0)))
-        return np.array([known[k] for k in keys]).reshape(-1, len(self.langs))
-
-
-def _path(bits: np.ndarray, switch: float) -> np.ndarray:
-    """Languages of consecutive sentences with the least total code length, a change costing ``switch`` bits."""
+            data = b"".join(parts)
+            word = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)  # every text begins with a blank, so every word does
+            by_word = np.add.reduceat(self.byte_costs(data, start), word, axis=0, dtype=np.float64)
+            first = np.searchsorted(word, start)
+            bits = np.add.reduceat(by_word, first, axis=0)
+            divisible = bits.min(axis=1) - np.add.reduceat(by_word.min(axis=1), first) > SWITCH_INSIDE
+            for i, (k, a, b) in enumerate(zip(new, first, np.append(first[1:], len(word)))):
+                known[k] = (bits[i], by_word[a:b].copy() if divisible[i] else None)
+        return [known[k] for k in keys]
+
+    def code_lengths(self, texts: Sequence[str], known: dict[str, tuple] | None = None) -> np.ndarray:
+        """Bits of each text under each language, of all its bytes."""
+        return np.array([bits for bits, _ in self.scored(texts, known)]).reshape(-1, len(self.langs))
+
+
+def _path(bits: np.ndarray, switch: Sequence[float]) -> np.ndarray:
+    """Languages of consecutive units with the least total code length, a change after unit i costing ``switch[i]`` bits."""
     n, m = bits.shape
     own = bits.argmin(axis=1)
-    if (own == own[0]).all():  # each sentence's best is the path's
+    if (own == own[0]).all():  # each unit's best is the path's
         return own
     best, back = bits[0].copy(), np.zeros((n, m), np.int64)
     for i in range(1, n):
         j = int(best.argmin())
-        change = best[j] + switch < best
+        change = best[j] + switch[i - 1] < best
         back[i] = np.where(change, j, np.arange(m))
-        best = np.where(change, best[j] + switch, best) + bits[i]
+        best = np.where(change, best[j] + switch[i - 1], best) + bits[i]
     path = np.zeros(n, np.int64)
     path[-1] = int(best.argmin())
     for i in range(n - 1, 0, -1):
@@ -177,35 +232,55 @@ def _path(bits: np.ndarray, switch: float) -> np.ndarray:
     return path
 
 
+def _cuts(path: np.ndarray) -> list[int]:
+    return [0, *(np.flatnonzero(path[1:] != path[:-1]) + 1).tolist(), len(path)]
+
+
+def _divided(text: str, start: int, stop: int, words: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+    """(start, stop, bits) of a sentence's parts, cut between words where a change of language inside it pays."""
+    cuts = _cuts(_path(words, [SWITCH_INSIDE] * len(words)))
+    if len(cuts) == 2:
+        return [(start, stop, words.sum(axis=0))]
+    at: list[int] = []  # where each word begins; a token may be several words once its signs are in plain form
+    for m in re.finditer(r"\S+", text[start:stop]):
+        at += [start + m.start()] * len(visible(m.group()).split())
+    ends = [start, *(at[min(c, len(at) - 1)] for c in cuts[1:-1]), stop]
+    return [(x, y, words[a:b].sum(axis=0)) for x, y, a, b in zip(ends, ends[1:], cuts, cuts[1:])]
+
+
 def _confidence(bits: np.ndarray, lang: int) -> float:
     x = (bits.min() - bits) * np.log(2) / TEMPERATURE
     p = np.exp(x)
     return float(p[lang] / p.sum())
 
 
-_SEGMENTS = pa.schema([("doc_id", pa.int64()), ("segment", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("words", pa.int32()), ("language", pa.string()), ("confidence", pa.float64())])
-SEGMENT_SCHEMA = "doc_id bigint, segment int, start int, stop int, words int, language string, confidence double"
+_SEGMENTS = pa.schema([("doc_id", pa.int64()), ("segment", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("words", pa.int32()), ("language", pa.string()), ("confidence", pa.float64()), ("named", pa.string())])
+SEGMENT_SCHEMA = "doc_id bigint, segment int, start int, stop int, words int, language string, confidence double, named string"
 BATCH_CHARS = 200_000
 REMEMBERED = 50_000  # sentences whose code lengths a worker keeps, as repeated ones are frequent
 
 
-def _label(model: FrozenPPM, ids: list[int], texts: list[str], known: dict[str, np.ndarray] | None = None) -> pa.RecordBatch:
-    spans = [sentences(t) for t in texts]
-    flat = [texts[d][a:b] for d, own in enumerate(spans) for a, b in own]
-    bits = model.code_lengths(flat, known)
+def _label(model: FrozenPPM, ids: list[int], texts: list[str], named: list[str | None], known: dict[str, tuple] | None = None) -> pa.RecordBatch:
+    cleaned = [prose(t) for t in texts]
+    scored = iter(model.scored([clean[a:b] for clean, spans in cleaned for a, b in spans], known))
     rows: list[tuple] = []
-    at = 0
-    for d, own in enumerate(spans):
-        if not own:
+    for d, (clean, spans) in enumerate(cleaned):
+        units: list[tuple[int, int, np.ndarray]] = []
+        switch: list[float] = []
+        for a, b in spans:
+            bits, words = next(scored)
+            parts = [(a, b, bits)] if words is None else _divided(clean, a, b, words)
+            units += parts
+            switch += [SWITCH_INSIDE] * (len(parts) - 1) + [SWITCH_BITS]
+        if not units:
             continue
-        mine = bits[at : at + len(own)]
-        size = [len(visible(t).split()) for t in flat[at : at + len(own)]]
-        at += len(own)
-        path = _path(mine, SWITCH_BITS)
-        cuts = [0, *(np.flatnonzero(path[1:] != path[:-1]) + 1).tolist(), len(own)]
+        bits = np.array([u[2] for u in units])
+        path = _path(bits, switch)
+        cuts = _cuts(path)
         for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
             lang = int(path[a])
-            rows.append((ids[d], k, own[a][0], own[b - 1][1], sum(size[a:b]), model.langs[lang], _confidence(mine[a:b].sum(axis=0), lang)))
+            size = sum(len(visible(clean[x:y]).split()) for x, y, _ in units[a:b])
+            rows.append((ids[d], k, units[a][0], units[b - 1][1], size, model.langs[lang], _confidence(bits[a:b].sum(axis=0), lang), named[d]))
     columns = list(zip(*rows)) if rows else [[]] * len(_SEGMENTS)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SEGMENTS)], schema=_SEGMENTS)
 
@@ -215,14 +290,16 @@ def _labelled(rows: DataFrame, text: str, lang: str, bound: int) -> list[tuple[s
     if len(got) > bound:
         raise ValueError(f"more than {bound} labelled samples")
     pairs = [(label_code(r[0]), r[1]) for r in got]
+    if sum(len(r[1]) for r in got) > MAX_CHARS:
+        raise ValueError(f"labelled samples of more than {MAX_CHARS} characters")
     return [(a, b) for a, b in pairs if a and b.strip()]
 
 
 def train(samples: DataFrame, docs: DataFrame | None = None, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", order: int = ORDER) -> FrozenPPM:
     """Fit the trees on checked samples and, if given, on a bounded sample of labelled documents.
 
-    ``samples``: at most MAX_SAMPLES rows, an error beyond. ``docs``: the MAX_DOCUMENTS labelled rows with the smallest
-    hash of their id (texts of up to MAX_TEXT characters). Their labels may be wrong, so a first model from the samples
+    ``samples``: at most MAX_SAMPLES rows of MAX_CHARS characters, an error beyond. ``docs``: of the MAX_DOCUMENTS labelled
+    rows with the smallest hash of their id (texts of up to MAX_TEXT characters) the first MAX_CHARS characters. Their labels may be wrong, so a first model from the samples
     alone must agree with a document's label, and of its sentences only those are taken that it doesn't hold for
     another language by DOUBT bits or more. Only the fit is bounded; every document is labelled.
     """
@@ -230,9 +307,11 @@ def train(samples: DataFrame, docs: DataFrame | None = None, text: str = "text",
     model = FrozenPPM(checked, order)
     if docs is None:
         return model
-    named = docs.filter(F.col(lang).isNotNull() & (F.length(text) <= MAX_TEXT)).select(lang, text, F.xxhash64(doc_id).alias("h")).orderBy("h").limit(MAX_DOCUMENTS)
-    pairs = _labelled(named, text, lang, MAX_DOCUMENTS)
-    spans = [[t[a:b] for a, b in sentences(t)] for _, t in pairs]
+    named = docs.filter(F.col(lang).isNotNull() & (F.length(text) <= MAX_TEXT)).select(lang, text, F.xxhash64(doc_id, text).alias("h")).orderBy("h").limit(MAX_DOCUMENTS)
+    read = [(label_code(r[0]), r[1]) for r in named.select(lang, text).collect()]
+    upto = np.cumsum([len(t) for _, t in read])
+    pairs = [(a, b) for (a, b), n in zip(read, upto) if n <= MAX_CHARS and a and b.strip()]
+    spans = [[clean[a:b] for a, b in own] for clean, own in (prose(t) for _, t in pairs)]
     bits = model.code_lengths([x for own in spans for x in own])
     taken: dict[tuple[str, str], None] = {}
     at = 0
@@ -246,41 +325,42 @@ def train(samples: DataFrame, docs: DataFrame | None = None, text: str = "text",
     return FrozenPPM([*checked, *taken], order)
 
 
-def language_segments(docs: DataFrame, model: FrozenPPM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, segment, start, stop, words, language, confidence): maximal stretches of prose in one language.
+def language_segments(docs: DataFrame, model: FrozenPPM, doc_id: str = "doc_id", text: str = "text", lang: str | None = None) -> DataFrame:
+    """(doc_id, segment, start, stop, words, language, confidence, named): maximal stretches of prose in one language.
 
-    Whole texts, one pass, no shuffle; long texts are split into sentences, so memory follows the longest text. NULL,
-    blank and code-only texts have no segments; repeated ids give their own rows each; other columns are ignored.
+    ``start`` and ``stop`` are offsets in the text, ``words`` counts without links and tags; ``named`` is the two-letter
+    code that the row's label in ``lang`` names, NULL if none. Whole texts, one pass, no shuffle; long texts are split
+    into sentences, so memory follows the longest text. NULL, blank and code-only texts have no segments; repeated ids
+    give their own rows each; other columns are ignored.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few MB; MAX_CHARS bounds the fit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model  # a few MB, bounded by the samples; Spark broadcasts functions of that size
-        known: dict[str, np.ndarray] = {}
+        m = shared.value
+        known: dict[str, tuple] = {}
         for batch in batches:
-            ids, texts, size = [], [], 0
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            ids, texts, named, size = [], [], [], 0
+            for i, t, label in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 ids.append(i)
                 texts.append(t or "")
+                named.append(label_code(label))
                 size += len(texts[-1])
                 if len(known) > REMEMBERED:
                     known.clear()
                 if size >= BATCH_CHARS:
-                    yield _label(m, ids, texts, known)
-                    ids, texts, size = [], [], 0
+                    yield _label(m, ids, texts, named, known)
+                    ids, texts, named, size = [], [], [], 0
             if ids:
-                yield _label(m, ids, texts, known)
+                yield _label(m, ids, texts, named, known)
 
-    return docs.select(F.col(doc_id).cast("bigint"), F.col(text)).mapInArrow(run, SEGMENT_SCHEMA)
+    label = F.col(lang).cast("string") if lang else F.lit(None).cast("string")
+    return docs.select(F.col(doc_id).cast("bigint"), F.col(text), label).mapInArrow(run, SEGMENT_SCHEMA)
 
 
-def unnamed_languages(docs: DataFrame, segments: DataFrame, doc_id: str = "doc_id", lang: str = "lang", least: int = FULL_PASSAGE) -> DataFrame:
-    """(doc_id, found_lang): languages of full passages that the document's label does not name."""
-    spell = F.create_map(*(F.lit(x) for s, code in sorted(_CODE_OF.items()) for x in (s, code)))
-    label = F.lower(F.trim(F.col(lang)))
-    named = F.coalesce(F.try_element_at(spell, label), F.try_element_at(spell, F.regexp_extract(label, r"^[^-_ ]+", 0)), F.lit(""))
-    labels = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), named.alias("named"))
-    full = segments.filter(F.col("words") >= least).select("doc_id", F.col("language").alias("found_lang")).distinct()
-    return full.join(labels, "doc_id").filter(F.col("found_lang") != F.col("named")).select("doc_id", "found_lang").distinct()
+def unnamed_languages(segments: DataFrame, least: int = FULL_PASSAGE) -> DataFrame:
+    """(doc_id, found_lang): languages of full passages that the document's label (``named``) does not name."""
+    full = segments.filter((F.col("words") >= least) & ~F.col("named").eqNullSafe(F.col("language")))
+    return full.select("doc_id", F.col("language").alias("found_lang")).distinct()
 
 
 def document_languages(segments: DataFrame) -> DataFrame:

@@ -27,7 +27,6 @@ def visible(text: str) -> str:
     return unicodedata.normalize("NFKC", _UNSEEN.sub("", text))
 
 
-
 def _is_prose(line: str) -> bool:
     if _SIMPLE.match(line):
         return True
@@ -41,13 +40,20 @@ def _is_prose(line: str) -> bool:
 
 
 def sentences(text: str | None) -> list[tuple[int, int]]:
-    """(start, end) offsets of the prose sentences of ``text``, in order. None and blank texts have none.
+    """(start, end) offsets of the prose sentences of ``text``, see :func:`prose`."""
+    return prose(text)[1]
+
+
+def prose(text: str | None) -> tuple[str, list[tuple[int, int]]]:
+    """``text`` with links, tags and code blanked out (offsets stay), and (start, end) of its prose sentences, in order.
+
+    None and blank texts have none.
 
     Left out: fenced blocks, <pre> and <code> blocks, lines indented by four blanks or a tab, links, other tags, and
     lines of which less than LEAST_PLAIN of the tokens are plain words (numbers don't count either way).
     """
     if not text or text.isspace():
-        return []
+        return "", []
     blank = lambda m: " " * (m.end() - m.start())  # noqa: E731 - offsets stay as they are
     keep = lambda m: "".join(c if c in "\r\n" else " " for c in m.group())
     clean = _LINK.sub(blank, _TAG.sub(blank, _PRE.sub(keep, text)) if "<" in text else text)
@@ -67,4 +73,4 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
             from_ = start + m.end()
         if clean[from_:at].strip():
             out.append((from_, at))
-    return out
+    return clean, out

@@ -54,24 +54,24 @@ def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir)
 
 
-def _segments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return docs, langid.language_segments(docs, langid.train(_table(spark, sf_dir, "lang_samples"), docs))
+    return langid.language_segments(docs, langid.train(_table(spark, sf_dir, "lang_samples"), docs), lang="lang")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of full passages that a document's label does not name."""
-    return langid.unnamed_languages(*_segments(spark, sf_dir))
+    return langid.unnamed_languages(_segments(spark, sf_dir))
 
 
 def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stretch of prose in one language, with its confidence."""
-    return _segments(spark, sf_dir)[1]
+    return _segments(spark, sf_dir)
 
 
 def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's main language, with its confidence."""
-    return langid.document_languages(_segments(spark, sf_dir)[1])
+    return langid.document_languages(_segments(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (p4_percentiles, p4_percentiles_combined, p6_packing, p6_packing_report, p7_found, p7_leaks, p8_found, p8_segments, p8_documents)}
