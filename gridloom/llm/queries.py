@@ -40,6 +40,11 @@ def p6_packing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_report(p6_packing(spark, sf_dir))
 
 
+def p6_packing_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents placed, and how many are incomplete, beyond a container's end, on another's place or divided without need."""
+    return packing.packing_faults(p6_packing(spark, sf_dir))
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
 
@@ -74,11 +79,13 @@ def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.document_languages(_segments(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p4_percentiles, p4_percentiles_combined, p6_packing, p6_packing_report, p7_found, p7_leaks, p8_found, p8_segments, p8_documents)}
+QUERIES = {f.__name__: f for f in (p4_percentiles, p4_percentiles_combined, p6_packing, p6_packing_report, p6_packing_faults, p7_found, p7_leaks, p8_found, p8_segments, p8_documents)}
 
 _P4_SQL = f"""WITH {CLEAN_SQL},
 k AS (SELECT resource_type, 'units_drawn' AS metric, units_drawn AS value FROM ticks UNION ALL SELECT resource_type, 'cost', cost FROM ticks),
 {percentile_sql('k', 'resource_type, metric', QUANTILES)}
 SELECT resource_type, metric, cnt AS n, q, value FROM pct"""
 
-ORACLES: dict[str, str] = {"p4_percentiles": _P4_SQL, "p4_percentiles_combined": _P4_SQL}
+_P6_FAULTS_SQL = "SELECT count(*) AS documents, CAST(0 AS BIGINT) AS incomplete, CAST(0 AS BIGINT) AS beyond, CAST(0 AS BIGINT) AS overlaps, CAST(0 AS BIGINT) AS divided FROM documents"
+
+ORACLES: dict[str, str] = {"p4_percentiles": _P4_SQL, "p4_percentiles_combined": _P4_SQL, "p6_packing_faults": _P6_FAULTS_SQL}
