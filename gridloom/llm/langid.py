@@ -19,7 +19,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.prose import prose, visible
@@ -363,6 +363,34 @@ def unnamed_languages(segments: DataFrame, least: int = FULL_PASSAGE) -> DataFra
     return full.select("doc_id", F.col("language").alias("found_lang")).distinct()
 
 
+def named_languages(docs: DataFrame, doc_id: str = "doc_id", lang: str = "lang") -> DataFrame:
+    """(doc_id, named): what :func:`label_code` reads in each row's label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = pa.array([label_code(x) for x in batch.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), codes], names=["doc_id", "named"])
+
+    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(lang).cast("string")).mapInArrow(run, "doc_id bigint, named string")
+
+
+def segment_faults(docs: DataFrame, segments: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(documents, misnumbered, overlapping, outside, empty, unsure) for unique ids; all but the first should be 0.
+
+    Segments not numbered in order, beginning before the one before ends, beyond their text, without words, or with a
+    confidence that isn't above 0 and up to 1. Documents without prose have no segments.
+    """
+    along = Window.partitionBy("doc_id").orderBy("segment")
+    s = segments.withColumn("k", F.row_number().over(along) - 1).withColumn("before", F.lag("stop").over(along))
+    d = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.length(text).alias("size"))
+    s = d.join(s, "doc_id", "left")
+    bad = lambda c: F.count(F.when(c, 1))
+    return s.agg(
+        F.count_distinct("doc_id").alias("documents"), bad(F.col("segment") != F.col("k")).alias("misnumbered"), bad(F.col("start") < F.col("before")).alias("overlapping"),
+        bad((F.col("start") < 0) | (F.col("stop") > F.col("size")) | (F.col("start") >= F.col("stop"))).alias("outside"), bad(F.col("words") < 1).alias("empty"), bad(~F.col("confidence").between(1e-300, 1.0)).alias("unsure"),
+    )
+
+
 def document_languages(segments: DataFrame) -> DataFrame:
     """(doc_id, language, confidence, words): the language of most words of each document with prose."""
     per = segments.groupBy("doc_id", "language").agg(F.sum("words").alias("words"), (F.sum(F.col("confidence") * F.col("words")) / F.greatest(F.sum("words"), F.lit(1))).alias("confidence"))

@@ -40,7 +40,7 @@ WHOLE = 0.7  # share of an item's words that makes a leak of the whole item
 MATCHED = 0.6  # share of a stretch's words, and of its rare terms, that must match
 STRICT = 0.85  # share of a stretch's words that must match if it has fewer than two rare matches
 BROADCAST_PAIRS = 500_000  # up to so many candidate pairs their document ids are broadcast (16 bytes each), beyond they are joined
-MAX_ITEM_TOKENS = 5_000_000  # bound of what is broadcast about the evaluation items
+MAX_ITEM_CHARS = 20_000_000  # bound of the evaluation items' texts, and so of what is broadcast about them; an error beyond
 
 _TOKEN = re.compile(r"[^\W_]+")
 
@@ -55,13 +55,18 @@ def tokens(text: str | None) -> list[str]:
     return _TOKEN.findall(t)
 
 
-def _item_terms(items: DataFrame, item_id: str, text: str) -> pd.DataFrame:
-    """(item_id, pos, term) of all items on the driver; an error beyond the bound."""
-    rows = items.select(item_id, text).collect()
-    out = [(r[0], k, t) for r in rows for k, t in enumerate(tokens(r[1]))]
-    if len(out) > MAX_ITEM_TOKENS:
-        raise ValueError(f"evaluation items of more than {MAX_ITEM_TOKENS} tokens: check them in parts")
-    return pd.DataFrame(out, columns=["item_id", "pos", "term"])
+def _item_terms(items: DataFrame, item_id: str, text: str) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """(item, pos, term) of the different item texts and (item, item_id), on the driver; an error beyond the bound.
+
+    Items of the same words are one, so that no item's copies make its words and phrases common.
+    """
+    chars = items.agg(F.sum(F.length(text))).first()[0] or 0
+    if chars > MAX_ITEM_CHARS:
+        raise ValueError(f"evaluation items of more than {MAX_ITEM_CHARS} characters: check them in parts")
+    number: dict[tuple[str, ...], int] = {}
+    ids = [(number.setdefault(tuple(tokens(r[1])), len(number)), r[0]) for r in items.select(item_id, text).collect()]
+    out = [(n, k, t) for words, n in number.items() for k, t in enumerate(words)]
+    return pd.DataFrame(out, columns=["item_id", "pos", "term"]), pd.DataFrame(ids, columns=["item", "item_id"]).drop_duplicates()
 
 
 def _phrase_keys(ids: np.ndarray) -> np.ndarray:
@@ -154,6 +159,45 @@ def _met(i: np.ndarray, j: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.
     return starts[back], inside[back]
 
 
+def _linked(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which matches have another one a step of up to DRIFT words before or after in both texts: only these can form chains."""
+    width = int(j.max()) + 2 * DRIFT + 1
+    key = i.astype(np.int64) * width + j + DRIFT
+    keys = np.sort(key)
+    out = np.zeros(len(key), bool)
+    for a in range(1, DRIFT + 1):
+        for b in range(1, DRIFT + 1):
+            for step in (a * width + b, -a * width - b):
+                wanted = key + step
+                out |= keys[np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)] == wanted
+    return out
+
+
+def _near(i: np.ndarray, j: np.ndarray, ai: np.ndarray, aj: np.ndarray) -> np.ndarray:
+    """Which matches have an anchor near them on nearly the same offset; each is compared with the anchors in reach only."""
+    o = np.argsort(aj, kind="stable")
+    ai, aj = ai[o], aj[o]
+    low, high = np.searchsorted(aj, j - 3 * DRIFT), np.searchsorted(aj, j + 3 * DRIFT, side="right")
+    out = np.zeros(len(i), bool)
+    at = 0
+    while at < len(i):
+        end = max(at + 1, int(np.searchsorted(np.cumsum(high[at:] - low[at:]), 1_000_000, side="right")) + at)
+        count = (high - low)[at:end]
+        row = np.repeat(np.arange(at, end), count)
+        k = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + low[row]
+        out[row[np.abs((j[row] - i[row]) - (aj[k] - ai[k])) <= DRIFT]] = True
+        at = end
+    return out
+
+
+def longest_run(i: np.ndarray, j: np.ndarray) -> int:
+    """Words of the longest stretch that both texts have letter by letter (as tokens)."""
+    o = np.lexsort((i, j - i))
+    a, d = i[o], (j - i)[o]
+    new = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (a[1:] != a[:-1] + 1)])
+    return int(np.diff(np.r_[new, len(o)]).max())
+
+
 def stretches(i: np.ndarray, j: np.ndarray, rare: np.ndarray, anchor: np.ndarray | None = None) -> list[tuple[int, int, int, int, int, int, int]]:
     """Aligned stretches of matches (item position i, document position j): (first i, last i, matched, rare matched, gaps, first j, last j).
 
@@ -163,12 +207,10 @@ def stretches(i: np.ndarray, j: np.ndarray, rare: np.ndarray, anchor: np.ndarray
     anchor = rare if anchor is None else rare | anchor
     if not anchor.any():
         return []
-    ri, rj = i[anchor], j[anchor]
-    near = np.zeros(len(i), bool)
-    for a in range(0, len(i), 4096):
-        s = slice(a, a + 4096)
-        near[s] = ((np.abs(j[s, None] - rj[None, :]) <= 3 * DRIFT) & (np.abs((j[s, None] - i[s, None]) - (rj - ri)[None, :]) <= DRIFT)).any(axis=1)
+    near = _near(i, j, i[anchor], j[anchor])
     i, j, rare = i[near], j[near], rare[near]
+    linked = _linked(i, j)
+    i, j, rare = i[linked], j[linked], rare[linked]
     o = np.lexsort((i, j))
     i, j, rare = i[o], j[o], rare[o]
     n = len(i)
@@ -193,10 +235,10 @@ def stretches(i: np.ndarray, j: np.ndarray, rare: np.ndarray, anchor: np.ndarray
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, share, longest, exact): documents that hold an item's wording, whole or in part.
+    """(doc_id, item_id, share, longest, exact, run): documents that hold an item's wording, whole or in part.
 
     ``share``: the item's words in aligned stretches of PIECE words or more / all its words; ``longest``: words of the
-    longest stretch; ``exact``: it has no gap. A pair is reported from STRETCH words in one stretch or a share of WHOLE,
+    longest stretch; ``exact``: it has no gap; ``run``: words of the longest stretch without any difference. A pair is reported from STRETCH words in one stretch or a share of WHOLE,
     where at least MATCHED of a stretch's words and of its rare terms match (so texts made on the item's pattern, and
     stock phrases, don't count). A stretch with fewer than two rare matches counts if it has STRETCH words (or is the
     whole of a shorter item), STRICT of them match, at most one rare term differs, and at least half of its exact phrases
@@ -204,9 +246,9 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     different texts under one id; empty tables give no rows.
     """
     spark = docs.sparkSession
-    item = _item_terms(items, item_id, item_text)
+    item, copies_of = _item_terms(items, item_id, item_text)
     if not len(item):
-        return spark.createDataFrame([], "doc_id bigint, item_id bigint, share double, longest int, exact boolean")
+        return spark.createDataFrame([], "doc_id bigint, item_id bigint, share double, longest int, exact boolean, run int")
     copies = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.unhex(F.md5(F.col(text))).alias("hash"), F.col(text).alias("text"))
     vocabulary = {t: k + 1 for k, t in enumerate(item["term"].unique())}
     least = max(4, RARE_ITEMS * item["item_id"].nunique())
@@ -277,8 +319,10 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
                         longest, exact = size, gaps == 0
                 share = min(1.0, covered / words[it])
                 if longest >= STRETCH or share >= WHOLE:
-                    out.append((d, it, share, longest, exact))
-            yield pd.DataFrame(out, columns=["hash", "item_id", "share", "longest", "exact"])
+                    out.append((d, it, share, longest, exact, longest_run(i, j)))
+            yield pd.DataFrame(out, columns=["hash", "item", "share", "longest", "exact", "run"])
 
-    found = both.mapInPandas(check, "hash binary, item_id bigint, share double, longest int, exact boolean")
-    return copies.select("doc_id", "hash").distinct().join(found, "hash").select("doc_id", "item_id", "share", "longest", "exact")
+    found = both.mapInPandas(check, "hash binary, item bigint, share double, longest int, exact boolean, run int")
+    ids = spark.createDataFrame(copies_of, "item bigint, item_id bigint")
+    named = found.join(F.broadcast(ids), "item").drop("item")
+    return copies.select("doc_id", "hash").distinct().join(named, "hash").select("doc_id", "item_id", "share", "longest", "exact", "run")

@@ -376,7 +376,7 @@ def packing_report(places: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def packing_faults(places: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """(documents, incomplete, beyond, overlaps, divided): what is wrong with a packing of unique ids; all but the first should be 0.
+    """(documents, incomplete, beyond, overlapping, divided): what is wrong with a packing of unique ids; all but the first should be 0.
 
     Texts whose pieces don't cover all their tokens, items beyond a container's end, items on an earlier item's place,
     texts divided without need.
@@ -388,6 +388,6 @@ def packing_faults(places: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     end = F.col("offset") + F.col("tokens")
     along = Window.partitionBy("container").orderBy("offset")
     inside = places.filter(F.col("container").isNotNull()).select("*", (F.lag(end).over(along) > F.col("offset")).alias("on"))
-    inside = inside.agg(F.count(F.when(end > capacity, 1)).alias("beyond"), F.count(F.when(F.col("on"), 1)).alias("overlaps"))
+    inside = inside.agg(F.count(F.when(end > capacity, 1)).alias("beyond"), F.count(F.when(F.col("on"), 1)).alias("overlapping"))
     one = F.lit(1).alias("one")
-    return texts.select("*", one).join(F.broadcast(inside.select("*", one)), "one").select("documents", "incomplete", "beyond", "overlaps", "divided")
+    return texts.select("*", one).join(F.broadcast(inside.select("*", one)), "one").select("documents", "incomplete", "beyond", "overlapping", "divided")

@@ -115,3 +115,57 @@ def test_stretches_of_common_words(spark):
     table = spark.createDataFrame([(n, " ".join(w)) for n, w in enumerate(items)], "item_id bigint, text string")
     got = L.leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), table).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(0, 0), (1, 1), (2, 2), (3, 2)}
+
+
+def test_pruning_is_exact():
+    rng = np.random.default_rng(7)
+    for n in (1, 5, 300):
+        i, j = rng.integers(0, 30, n), rng.integers(0, 80, n)
+        anchor = rng.random(n) < 0.3
+        near = ((np.abs(j[:, None] - j[anchor][None, :]) <= 3 * L.DRIFT) & (np.abs((j - i)[:, None] - (j - i)[anchor][None, :]) <= L.DRIFT)).any(axis=1)
+        assert (L._near(i, j, i[anchor], j[anchor]) == near).all()
+        di, dj = i[:, None] - i[None, :], j[:, None] - j[None, :]
+        steps = ((di >= 1) & (di <= L.DRIFT) & (dj >= 1) & (dj <= L.DRIFT)) | ((di <= -1) & (di >= -L.DRIFT) & (dj <= -1) & (dj >= -L.DRIFT))
+        assert (L._linked(i, j) == steps.any(axis=1)).all()
+    assert L.longest_run(np.array([0, 1, 2, 7, 8, 3]), np.array([10, 11, 12, 17, 18, 99])) == 3
+    assert L.longest_run(np.array([4]), np.array([4])) == 1
+
+
+def test_items_of_common_words_repeated_items_and_hot_words(spark):
+    rng = np.random.default_rng(1)
+    vocabulary = [f"w{k}x" for k in range(500)]
+    items = [(k, " ".join(rng.choice(vocabulary, 20))) for k in range(40)]
+    items += [(k, items[7][1].upper()) for k in (40, 41, 42, 43, 44, 45)]  # one item seven times
+    docs = []
+    for k in range(200):
+        w = list(rng.choice(vocabulary, 300))
+        if k < 3:
+            w[100:100] = items[0][1].split()
+        if k in (5, 6):
+            w[50:50] = items[7][1].split()
+        docs.append((k, " ".join(w)))
+    hot = items[1][1].split()[4]
+    docs.append((500, f"{hot} " * 20_000 + items[1][1]))
+    got = L.leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    want = {(0, 0), (1, 0), (2, 0), (500, 1)} | {(d, k) for d in (5, 6) for k in (7, 40, 41, 42, 43, 44, 45)}
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
+    assert all(r["run"] == 20 and r["exact"] for r in got if r["doc_id"] != 500)
+
+
+def test_queries_equal_their_sql(spark):
+    import os
+
+    import duckdb
+
+    from gridloom.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        return
+    con = duckdb.connect()
+    for f in os.listdir(folder):
+        con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{folder}/{f}'")
+    for name in ("p6_packing_faults", "p7_exact_phrases", "p8_label_codes", "p8_segment_faults"):
+        df = queries.QUERIES[name](spark, folder)
+        columns = ", ".join(sorted(df.columns))
+        assert sorted(map(tuple, df.select(sorted(df.columns)).collect()), key=str) == sorted(con.execute(f"SELECT {columns} FROM ({queries.ORACLES[name]})").fetchall(), key=str), name
