@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,19 +23,19 @@ def p1_trailing_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*(F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in out.columns))
 
 
-def _p2(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _p2(spark: SparkSession, sf_dir: str, build: Callable[..., DataFrame]) -> DataFrame:
     ticks = clean_ticks(spark, sf_dir).select("consumer", "resource_type", "time", "units_drawn", "event_id", "id")
-    return features.entity_features(ticks, "consumer", "resource_type", "time", "units_drawn", event="event_id", order="id")
+    return build(ticks, "consumer", "resource_type", "time", "units_drawn", event="event_id", order="id")
 
 
 def p2_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per consumer with count, recency and total of every resource type."""
-    return _p2(spark, sf_dir)
+    return _p2(spark, sf_dir, features.entity_features)
 
 
 def p2_features_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same, one row per consumer and resource type."""
-    return features.entity_features_long(_p2(spark, sf_dir), "consumer").withColumn("total", F.col("total").cast("bigint"))
+    return _p2(spark, sf_dir, features.entity_features_long).withColumn("total", F.col("total").cast("bigint"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,9 +122,8 @@ SELECT consumer, CAST(DATE '1970-01-01' + d AS VARCHAR) AS day, CAST(n AS BIGINT
 
 
 _P2_SQL = f"""WITH {CLEAN_SQL},
-per_type AS (SELECT * FROM clean QUALIFY row_number() OVER (PARTITION BY consumer, resource_type, coalesce(event_id, 'null-' || id) ORDER BY id) = 1),
-s AS (SELECT consumer, resource_type, count(*) AS n, max(time) AS last, sum(units_drawn) AS total FROM per_type GROUP BY ALL),
-g AS (SELECT consumer, resource_type FROM (SELECT DISTINCT consumer FROM clean), (SELECT DISTINCT resource_type FROM clean))
+s AS (SELECT consumer, resource_type, count(*) AS n, max(time) AS last, sum(units_drawn) AS total FROM ticks GROUP BY ALL),
+g AS (SELECT consumer, resource_type FROM (SELECT DISTINCT consumer FROM ticks), (SELECT DISTINCT resource_type FROM clean))
 SELECT g.consumer, g.resource_type AS type, coalesce(n, 0) AS n, (SELECT max(time) FROM clean) - last AS seconds_since_last, CAST(coalesce(total, 0) AS BIGINT) AS total
 FROM g LEFT JOIN s ON s.consumer = g.consumer AND s.resource_type = g.resource_type"""
 

@@ -26,17 +26,19 @@ def test_features(spark, monkeypatch, hot):
         rows.append((f"e{rng.integers(9)}", f"K{rng.integers(5)}", int(rng.integers(1, 10**6)) if k % 7 else None, int(rng.integers(-9, 9)) if k % 5 else None, f"v{rng.integers(300)}", 10_000 + k))
     rows += [(None, "K1", 5, 1, None, 20_000), ("e1", None, 5, 1, "n1", 20_001), ("e1", "K1", 5, 1, None, 20_002), ("e1", "K1", 5, 1, None, 20_003)]
     df = spark.createDataFrame(rows, "who string, what string, at bigint, much bigint, ev string, id bigint").withColumnRenamed("who", "entity")
-    got = {(r["entity"], r["type"]): r for r in features.entity_features_long(features.entity_features(df, "entity", "what", "at", "much", "ev", "id"), "entity").collect()}
+    got = {(r["entity"], r["type"]): r for r in features.entity_features_long(df, "entity", "what", "at", "much", "ev", "id").collect()}
+    wide = {(r["entity"], t): (n, s, x) for r in features.entity_features(df, "entity", "what", "at", "much", "ev", "id").collect() for t, n, s, x in zip(r["types"], r["counts"], r["seconds_since_last"], r["totals"])}
+    assert wide == {k: (r["n"], r["seconds_since_last"], r["total"]) for k, r in got.items()}
     first = {}
     for e, k, t, v, ev, i in rows:
-        key = (e, k, ev if ev is not None else f"null{i}")
+        key = ev if ev is not None else f"null{i}"
         if key not in first or i < first[key][0]:
-            first[key] = (i, t, v)
+            first[key] = (i, t, v, e, k)
     as_of = max(r[2] for r in rows if r[2] is not None)
     want = defaultdict(list)
-    for (e, k, _), (_, t, v) in first.items():
+    for _, t, v, e, k in first.values():
         want[e, k].append((t, v))
-    entities, kinds = {r[0] for r in rows}, {r[1] for r in rows if r[1] is not None}
+    entities, kinds = {r[3] for r in first.values()}, {r[1] for r in rows if r[1] is not None}
     assert len(got) == len(entities) * len(kinds)
     for e in entities:
         for k in kinds:
@@ -47,6 +49,14 @@ def test_features(spark, monkeypatch, hot):
             assert r["seconds_since_last"] == (as_of - max(times) if times else None)
     empty = spark.createDataFrame([], df.schema)
     assert features.entity_features(empty, "entity", "what", "at", "much", "ev", "id").count() == 0
+    assert features.entity_features_long(empty, "entity", "what", "at", "much", "ev", "id").count() == 0
+    with pytest.raises(ValueError):
+        monkeypatch.setattr(features, "MAX_TYPES", 3)
+        features.entity_features(df, "entity", "what", "at", "much", "ev", "id")
+    few = features.entity_features(df, "entity", "what", "at", "much", "ev", "id", types=["K1", "none"], as_of=10**6).collect()
+    assert all(r["types"] == ["K1", "none"] and r["counts"][1] == 0 and r["seconds_since_last"][1] is None for r in few)
+    plain = features.entity_features_long(df, "entity", "what", "at", "much").collect()
+    assert sum(r["n"] for r in plain) == sum(r[1] is not None for r in rows)
 
 
 def exact(values, q):
@@ -57,6 +67,19 @@ def exact(values, q):
     return float(values[lo]) + (float(values[hi]) - float(values[lo])) * (at - lo)
 
 
+@pytest.mark.parametrize("split", [4096, 3])
+def test_a_hot_key_with_close_values(spark, monkeypatch, split):
+    monkeypatch.setattr(skew, "BAND_VALUES", 50)
+    monkeypatch.setattr(skew, "SPLIT", split)
+    values = [10**12 + k * k for k in range(1500)]
+    rows = [("hot", v) for v in values for _ in range(1 + v % 3)] + [("hot", -(10**12) - k) for k in range(200)] + [("other", k) for k in range(30)] + [(None, 5)]
+    df = spark.createDataFrame(rows, "a string, v bigint")
+    got = {(r["key_value"], r["q"]): r["value"] for r in skew.weighted_percentiles(skew.value_frequencies(df, ["a"], "v"), (0.0, 0.03, 0.5, 0.9, 1.0)).collect()}
+    for key in ("hot", "other", None):
+        own = [v for k, v in rows if k == key]
+        assert {q: got[key, q] for q in (0.0, 0.03, 0.5, 0.9, 1.0)} == {q: exact(own, q) for q in (0.0, 0.03, 0.5, 0.9, 1.0)}
+
+
 def test_skewed_keys(spark):
     rng = np.random.default_rng(4)
     rows = [("hot" if k % 3 else f"k{rng.integers(20)}", f"o{rng.integers(3)}", int(rng.integers(-50, 50)) if k % 13 else None) for k in range(3000)]
