@@ -1,60 +1,86 @@
-"""Settlement of delivered ticks in order of arrival: sequence guard and unique events, exact and without hot tasks.
+"""Settlement of delivered ticks in order of arrival: sequence guard and unique events, exact, in windows of bounded size.
 
 A tick is accepted unless (REPLAY) its sequence is above zero and not above the consumer's last accepted one, or
 (DUPLICATE_EVENT) its event was accepted before; the guard is tested first and a replayed event stays free. A sequence of
 zero or less always passes the guard and resets it. Both rules interact only at events delivered several times with a
-sequence above zero ("knots"). Everything between two knots is one associative step of the guard (segmented maximum):
+sequence above zero ("knots"), at one consumer or several. Everything between two knots is one associative step of the
+guard (a segmented maximum):
 
 1. repeated events whose every delivery has a sequence <= 0: the first arrival wins, later ones are duplicates;
-2. rows are cut into blocks by arrival; per consumer, block and stretch between knots: the stretch's step;
-3. the fold over steps and knots gives the guard's value before every stretch (a few rows per consumer);
-4. within each stretch a running maximum decides.
-
-No window spans more than a block of BLOCK arrivals of one consumer, however many rows it has.
+2. a consumer with many rows is cut into blocks by arrival; per consumer, block and stretch between knots: the stretch's step;
+3. which delivery of a knot's event is accepted is found by iteration: with the deliveries taken for duplicates set aside,
+   windows give the guard before every knot, and of each event's deliveries that pass the first is the accepted one,
+   until nothing changes. A tick's verdict depends on earlier ticks only, so what doesn't change is the sequential
+   fold's result. Replayed deliveries never change the guard, so a few rounds are enough unless knots decide about knots;
+4. with the duplicates and the guard at each block's beginning as additional rows, a running maximum decides about every tick.
+
+No window spans more than a block of one consumer, one event's deliveries, or one row per block of one consumer.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.shared import written
 
-BLOCK = 200_000
+BLOCK = 200_000  # rows of a consumer beyond which it is cut into blocks; fewer than rows / BLOCK consumers are, which bounds what is broadcast
 OK, REPLAY, DUPLICATE, QUARANTINED = "OK", "REPLAY", "DUPLICATE_EVENT", "QUARANTINED"
+_BEFORE = -(2**63)  # in the place of ``id``: before all rows
 
 
-def fold_steps(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sequential fold over rows sorted by fold group and arrival: the guard before each step (placed at its first row), each knot's verdict.
+def _bad(ticks: DataFrame):
+    bad = F.lit(False)
+    for c in ("units_drawn", "cost"):
+        if c in ticks.columns:
+            bad = bad | F.col(c).isNull()
+    return bad
+
+
+def heavy_consumers(rows: DataFrame, consumer: str = "consumer", order: str = "id") -> DataFrame:
+    """(__consumer, __lo, __width): consumers with more than BLOCK rows, and the arrivals each of their blocks spans; written."""
+    per = rows.groupBy(F.col(consumer).alias("__consumer")).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("__lo"), F.max(order).alias("hi"))
+    return written(per.filter(F.col("n") > BLOCK).select("__consumer", "__lo", F.expr(f"(hi - __lo) div ceil(n / {BLOCK}) + 1").cast("bigint").alias("__width")), "heavy")
+
+
+def in_blocks(rows: DataFrame, heavy: DataFrame, consumer: str = "consumer", order: str = "id") -> DataFrame:
+    """``rows`` with ``block``: 0, or for a consumer with many rows the part by arrival, of about BLOCK rows if these arrive evenly."""
+    out = rows.join(F.broadcast(heavy), F.col(consumer).eqNullSafe(F.col("__consumer")), "left")
+    return out.withColumn("block", F.coalesce(F.expr(f"({order} - __lo) div __width"), F.lit(0).cast("bigint"))).drop("__consumer", "__lo", "__width")
+
+
+def _repeated(rows: DataFrame, known: DataFrame | None) -> DataFrame:
+    """(id, consumer, block, event, seq, known, knot): the deliveries of events that are delivered again or known, written. Others need no look at events."""
+    of_event = Window.partitionBy("event")
+    good = rows.select("*", F.count(F.lit(1)).over(of_event).alias("copies"), F.max("seq").over(of_event).alias("top_seq"))
+    if known is None:
+        good = good.withColumn("known", F.lit(False))
+    else:
+        before = known.select(F.col("event_id").alias("event"), F.lit(True).alias("k")).filter("event IS NOT NULL").distinct()
+        good = good.join(before, "event", "left").withColumn("known", F.coalesce("k", F.lit(False))).drop("k")
+    good = good.filter(F.col("known") | (F.col("copies") > 1))
+    return written(good.select("id", "consumer", "block", "event", "seq", "known", (F.col("known") | (F.col("top_seq") > 0)).alias("knot")), "repeated")
 
-    Kept between batches: of the current group, the consumers' guards and the accepted knots' events.
-    """
-    group, last, accepted = None, {}, set()
-    for frame in frames:
-        before, verdicts = [], []
-        for g, c, knot, seq, event, known, resets, tail, top in zip(*(frame[k].tolist() for k in ("fold", "consumer", "knot", "seq", "event", "known", "resets", "tail", "top"))):
-            if g != group:
-                group, last, accepted = g, {}, set()
-            now = last.get(c)
-            before.append(now)
-            if not knot:
-                verdicts.append(None)
-                last[c] = int(tail) if resets else max(int(top), now) if now is not None else int(top)
-            elif seq > 0 and now is not None and seq <= now:
-                verdicts.append(REPLAY)
-            elif known or event in accepted:
-                verdicts.append(DUPLICATE)
-            else:
-                verdicts.append(OK)
-                accepted.add(event)
-                last[c] = int(seq)
-        out = frame[["consumer", "block", "part", "knot", "id"]].copy()
-        out["before"] = pd.array(before, dtype="Int64")
-        out["verdict"] = pd.array(verdicts, dtype="string")
-        yield out
+
+def _guards(steps: DataFrame, knots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Guard before every knot, and before every block, given which knots are set aside (``aside``)."""
+    key = ["consumer", "block"]
+    none = F.lit(None)
+    row = steps.select(*key, "id", none.cast("string").alias("event"), none.cast("bigint").alias("seq"), none.cast("boolean").alias("known"), none.cast("boolean").alias("aside"), "resets", F.when(F.col("resets"), F.col("tail")).otherwise(F.col("top")).alias("value"))
+    knot = knots.select(*key, "id", "event", "seq", "known", "aside", (~F.col("aside") & (F.col("seq") <= 0)).alias("resets"), F.when(~F.col("aside"), F.col("seq")).alias("value"))
+    here = Window.partitionBy(*key).orderBy("id")
+    upto = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = row.unionByName(knot).withColumn("segment", F.sum(F.col("resets").cast("int")).over(upto))
+    inside = Window.partitionBy(*key, "segment").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("floor", F.max("value").over(inside))
+    blocks = rows.groupBy(*key).agg((F.max("segment") > 0).alias("resets"), F.max(F.when(F.col("value").isNotNull(), F.struct("segment", "value")))["value"].alias("tail"), F.max("value").alias("top"))
+    along = Window.partitionBy("consumer").orderBy("block")
+    blocks = blocks.withColumn("segment", F.sum(F.col("resets").cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    after = F.max(F.when(F.col("resets"), F.col("tail")).otherwise(F.col("top"))).over(Window.partitionBy("consumer", "segment").orderBy("block").rowsBetween(Window.unboundedPreceding, 0))
+    blocks = blocks.withColumn("after", after).select(*key, F.lag("after").over(along).alias("carry"))
+    at_knots = rows.filter("event IS NOT NULL").join(blocks, key, "left")
+    guard = F.greatest("floor", F.when(F.col("segment") == 0, F.col("carry")))
+    return at_knots.select(*key, "id", "event", "seq", "known", "aside", guard.alias("guard")), blocks.filter("carry IS NOT NULL")
 
 
 def settle(ticks: DataFrame, initial: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
@@ -65,73 +91,91 @@ def settle(ticks: DataFrame, initial: DataFrame | None = None, known: DataFrame
     consumer, a NULL sequence counts as 0. To go on from an earlier ledger, ``initial`` (consumer, last_meter_sequence) seeds
     the guard and ``known`` (event_id) names the events accepted before; a known event never changes the guard.
     """
-    needed = [c for c in ("units_drawn", "cost") if c in ticks.columns]
-    bad = F.lit(False)
-    for c in needed:
-        bad = bad | F.col(c).isNull()
+    who = F.coalesce(F.col("consumer"), F.lit("\0"))
+    sequence = F.coalesce(F.col("meter_sequence"), F.lit(0)).cast("bigint")
     event = F.coalesce(F.col("event_id"), F.concat(F.lit("\0"), F.col("id").cast("string")))
-    rows = ticks.select(F.col("id"), F.coalesce("consumer", F.lit("\0")).alias("consumer"), event.alias("event"), F.coalesce("meter_sequence", F.lit(0)).alias("seq"), bad.alias("bad"), F.expr(f"id div {BLOCK}").alias("block"))
-    of_event = Window.partitionBy("event")
-    good = rows.filter(~F.col("bad"))
-    good = good.withColumn("copies", F.count(F.lit(1)).over(of_event)).withColumn("top_seq", F.max("seq").over(of_event))
-    good = good.withColumn("nth", F.row_number().over(of_event.orderBy("id"))).withColumn("homes", F.when(F.min("consumer").over(of_event) == F.max("consumer").over(of_event), 1).otherwise(2))
-    if known is None:
-        good = good.withColumn("known", F.lit(False))
-    else:
-        before = known.select(F.col("event_id").alias("event"), F.lit(True).alias("k")).filter("event IS NOT NULL").distinct()
-        good = good.join(before, "event", "left").withColumn("known", F.coalesce("k", F.lit(False))).drop("k")
-    good = good.withColumn("knot", F.col("known") | ((F.col("copies") > 1) & (F.col("top_seq") > 0)))
-    good = good.withColumn("early", F.when(~F.col("knot") & (F.col("nth") > 1), F.lit(DUPLICATE)))
-    marked = written(good.select("id", "consumer", "event", "seq", "block", "knot", "early", "homes", "known"), "marked")
+    slim = ticks.select(F.col("id").cast("bigint").alias("id"), who.alias("consumer"), event.alias("event"), sequence.alias("seq"), _bad(ticks).alias("bad"))
+    good = slim.filter(~F.col("bad")).drop("bad")
+    heavy = heavy_consumers(good)
+    good = in_blocks(good, heavy)
+    key = ["consumer", "block"]
+    repeated = _repeated(good, known)
+    knots = repeated.filter("knot")
+    early = repeated.filter(~F.col("knot")).withColumn("nth", F.row_number().over(Window.partitionBy("event").orderBy("id"))).filter("nth > 1").select(*key, "id")
 
-    live = marked.filter(F.col("early").isNull())
-    here = Window.partitionBy("consumer", "block").orderBy("id")
-    upto = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    live = live.withColumn("part", F.sum(F.col("knot").cast("int")).over(upto))
-    stretch = Window.partitionBy("consumer", "block", "part").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    plain = live.filter(~F.col("knot")).withColumn("segment", F.sum((F.col("seq") <= 0).cast("int")).over(stretch))
-    key = ["consumer", "block", "part"]
-    steps = plain.groupBy(*key).agg(
+    none = F.lit(None)
+    rows = good.select(*key, "id", "seq", none.cast("string").alias("mark"))
+    marks = knots.select(*key, "id", "seq", F.lit("knot").alias("mark")).unionByName(early.select(*key, "id", none.cast("bigint").alias("seq"), F.lit("early").alias("mark")))
+    seeds = None
+    if initial is not None:
+        first = good.groupBy("consumer").agg(F.min("block").alias("block"))
+        seeds = initial.filter("last_meter_sequence IS NOT NULL").select(F.coalesce("consumer", F.lit("\0")).alias("consumer"), F.col("last_meter_sequence").cast("bigint").alias("seq")).join(first, "consumer")
+        rows = rows.unionByName(seeds.select(*key, F.lit(_BEFORE).alias("id"), "seq", none.cast("string").alias("mark")))
+    # a row's mark stands next to it: no join with the marks
+    both = Window.partitionBy(*key).orderBy("id", F.col("mark").isNull())
+    marked = rows.unionByName(marks).withColumn("own", F.when(F.lag("id").over(both) == F.col("id"), F.lag("mark").over(both)))
+    marked = marked.withColumn("part", F.count(F.when(F.col("mark") == "knot", 1)).over(both.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    plain = marked.filter(F.col("mark").isNull() & F.col("own").isNull())
+    stretch = Window.partitionBy(*key, "part").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    plain = plain.withColumn("segment", F.sum((F.col("seq") <= 0).cast("int")).over(stretch))
+    steps = plain.groupBy(*key, "part").agg(
         (F.max("segment") > 0).alias("resets"),
         F.max(F.struct("segment", "seq"))["seq"].alias("tail"),  # the maximum since the last reset
         F.max("seq").alias("top"),
         F.min("id").alias("id"),
     )
-    knots = live.filter("knot")
-    none = F.lit(None)
-    sequence = steps.select(*key, F.lit(False).alias("knot"), "id", none.cast("bigint").alias("seq"), none.cast("string").alias("event"), F.lit(False).alias("known"), "resets", "tail", "top", F.lit(1).alias("homes")).unionByName(
-        knots.select(*key, F.lit(True).alias("knot"), "id", "seq", "event", "known", F.lit(False).alias("resets"), none.cast("bigint").alias("tail"), none.cast("bigint").alias("top"), "homes")
-    )
-    if initial is not None:
-        seed = initial.select(F.coalesce("consumer", F.lit("\0")).alias("consumer"), F.lit(-1).cast("bigint").alias("block"), F.lit(0).cast("bigint").alias("part"), F.lit(False).alias("knot"), F.lit(-1).cast("bigint").alias("id"), none.cast("bigint").alias("seq"), none.cast("string").alias("event"), F.lit(False).alias("known"), F.lit(True).alias("resets"), F.col("last_meter_sequence").alias("tail"), F.col("last_meter_sequence").alias("top"), F.lit(1).alias("homes"))
-        sequence = sequence.unionByName(seed)
-    # a knot's deliveries at several consumers tie these together: they are folded as one group
-    tied = knots.filter("homes > 1").select("consumer").distinct().withColumn("tied", F.lit("*"))
-    grouped = sequence.join(tied, "consumer", "left").withColumn("fold", F.coalesce(F.col("tied"), F.concat(F.lit("c"), "consumer"))).drop("tied", "homes")
-    folded = grouped.repartition("fold").sortWithinPartitions("fold", "id").mapInPandas(fold_steps, "consumer string, block bigint, part bigint, knot boolean, id bigint, before bigint, verdict string")
-    folded = written(folded, "guard")
-    before = folded.filter(~F.col("knot")).select(*key, "before")
-    run = Window.partitionBy("consumer", "block", "part", "segment").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    plain = plain.join(before, key)
-    floor = F.greatest(F.max("seq").over(run), F.when(F.col("segment") == 0, F.col("before")))
-    plain = plain.withColumn("verdict", F.when((F.col("seq") > 0) & (F.col("seq") <= floor), REPLAY).otherwise(OK))
-    verdicts = (
-        plain.select("id", "verdict").unionByName(folded.filter("knot").select("id", "verdict")).unionByName(marked.filter(F.col("early").isNotNull()).select("id", F.col("early").alias("verdict"))).unionByName(rows.filter("bad").select("id", F.lit(QUARANTINED).alias("verdict")))
-    )
-    return ticks.join(verdicts, "id")
-
-
-def running_balance(accepted: DataFrame, initial: int) -> DataFrame:
+    steps = written(steps.select(*key, "id", "resets", "tail", "top"), "steps")
+
+    nth = F.row_number().over(Window.partitionBy("event").orderBy("id"))
+    state = written(knots.select(*key, "id", "event", "seq", "known", (F.col("known") | (nth > 1)).alias("aside")), "knots")
+    replayed = (F.col("seq") > 0) & F.coalesce(F.col("seq") <= F.col("guard"), F.lit(False))
+    while True:
+        at_knots, blocks = _guards(steps, state)
+        passing = F.min(F.when(~replayed & ~F.col("known"), F.col("id"))).over(Window.partitionBy("event"))
+        new = at_knots.withColumn("first", passing).withColumn("now", ~F.coalesce(F.col("id") == F.col("first"), F.lit(False)))
+        new = written(new.select(*key, "id", "event", "seq", "known", F.col("now").alias("aside"), (F.col("now") != F.col("aside")).alias("changed"), (F.col("now") & ~replayed).alias("duplicate")), "knots")
+        settled = not new.filter("changed").limit(1).count()
+        state = new.drop("changed", "duplicate")
+        if settled:
+            break
+
+    # every tick beside its mark and its block's beginning
+    duplicates = new.filter("duplicate").select(*key, "id").unionByName(early)
+    empty = none.cast(ticks.schema)
+    full = ticks.select(F.struct(*ticks.columns).alias("tick"), F.col("id").cast("bigint").alias("id"), who.alias("consumer"), F.when(~_bad(ticks), sequence).alias("seq"))
+    full = in_blocks(full, heavy).withColumn("mark", F.lit(False))
+    full = full.unionByName(duplicates.select(empty.alias("tick"), "id", "consumer", none.cast("bigint").alias("seq"), "block", F.lit(True).alias("mark")))
+    begins = blocks.select("consumer", "block", F.col("carry").alias("seq"))
+    if seeds is not None:
+        begins = begins.unionByName(seeds.select("consumer", "block", "seq"))
+    full = full.unionByName(begins.select(empty.alias("tick"), F.lit(_BEFORE).alias("id"), "consumer", "seq", "block", F.lit(False).alias("mark")))
+    both = Window.partitionBy(*key).orderBy("id", F.desc("mark"))
+    full = full.withColumn("duplicate", F.coalesce((F.lag("id").over(both) == F.col("id")) & F.lag("mark").over(both), F.lit(False))).filter(~F.col("mark"))
+    full = full.withColumn("counts", F.when(~F.col("duplicate"), F.col("seq")))
+    along = Window.partitionBy(*key).orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    full = full.withColumn("segment", F.sum(F.when(F.col("counts") <= 0, 1).otherwise(0)).over(along))
+    floor = F.max("counts").over(Window.partitionBy(*key, "segment").orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
+    verdict = F.when(F.col("seq").isNull(), QUARANTINED).when(F.col("duplicate"), DUPLICATE).when((F.col("seq") > 0) & (F.col("seq") <= floor), REPLAY).otherwise(OK)
+    return full.withColumn("verdict", verdict).filter(F.col("tick").isNotNull()).select("tick.*", "verdict")
+
+
+def running_balance(accepted: DataFrame, initial: int, balances: DataFrame | None = None) -> DataFrame:
     """``accepted`` with ``balance``: initial minus the consumer's costs up to the tick, in order of arrival.
 
-    Sums per block of arrivals first, so the windows hold a block's rows, or one row per block.
+    ``balances`` (address, escrow_balance): what consumers seen before have left; the others begin with ``initial``. Sums
+    per block of arrivals first, so the windows hold a block's rows of a consumer, or one row per block.
     """
-    rows = accepted.withColumn("block", F.expr(f"id div {BLOCK}"))
-    per = rows.groupBy("consumer", "block").agg(F.sum(F.col("cost").cast("decimal(38,0)")).alias("spent"))
+    columns = [F.col(c) for c in accepted.columns]
+    heavy = heavy_consumers(accepted)
+    rows = in_blocks(accepted, heavy)
+    per = rows.groupBy("consumer", "block").agg(F.sum(F.col("cost").cast("decimal(38,0)")).alias("spent")).join(F.broadcast(heavy), F.col("consumer").eqNullSafe(F.col("__consumer")), "left_semi")
     earlier = Window.partitionBy("consumer").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select("consumer", "block", F.coalesce(F.sum("spent").over(earlier), F.lit(0)).alias("before"))
+    per = per.select(F.col("consumer").alias("__c"), F.col("block").alias("__b"), F.coalesce(F.sum("spent").over(earlier), F.lit(0)).alias("__before"))  # of heavy consumers only
+    out = rows.join(F.broadcast(per), F.col("consumer").eqNullSafe(F.col("__c")) & (F.col("block") == F.col("__b")), "left")
+    begin = F.lit(initial).cast("decimal(38,0)")
+    if balances is not None:
+        out = out.join(balances.select(F.col("address").alias("__a"), F.col("escrow_balance").alias("__e")), F.col("consumer").eqNullSafe(F.col("__a")), "left")
+        begin = F.coalesce(F.col("__e").cast("decimal(38,0)"), begin)
     inside = Window.partitionBy("consumer", "block").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    r, p = rows.alias("r"), per.alias("p")
-    out = r.join(p, F.col("r.consumer").eqNullSafe(F.col("p.consumer")) & (F.col("r.block") == F.col("p.block"))).select("r.*", "p.before")
-    balance = F.lit(initial).cast("decimal(38,0)") - F.col("before") - F.sum(F.col("cost").cast("decimal(38,0)")).over(inside)
-    return out.withColumn("balance", balance.cast("decimal(38,0)")).select(*accepted.columns, "balance")
+    balance = begin - F.coalesce("__before", F.lit(0)) - F.sum(F.col("cost").cast("decimal(38,0)")).over(inside)
+    return out.select(*columns, balance.cast("decimal(38,0)").alias("balance"))
