@@ -46,6 +46,16 @@ def integer64(c: Column | str) -> Column:
     return F.when(dec, s.try_cast("bigint")).when(hexa, F.conv(F.substring(s, 3, 15), 16, 10).try_cast("bigint"))
 
 
+def integer_prefix(c: Column | str) -> Column:
+    """BIGINT of the integer a text begins with, as an untyped store casts texts: the longest prefix of sign and digits, 0 without one, the nearest value beyond 64 bits. NULL stays NULL."""
+    s = F.regexp_extract(F.ltrim(_c(c), F.lit(BLANKS)), r"^[+-]?[0-9]+", 0)
+    digits = F.regexp_replace(s, r"^[+-]?0*", "")
+    negative = s.startswith("-")
+    fits = F.length(digits) <= 19
+    value = F.coalesce(F.when(fits, F.concat(F.when(negative, F.lit("-")).otherwise(F.lit("")), digits).try_cast("bigint")), F.when(digits == "", F.lit(0)).when(negative, F.lit(-(2**63))).otherwise(F.lit(2**63 - 1)))
+    return F.when(_c(c).isNotNull(), value.cast("bigint"))
+
+
 def epoch_seconds(c: Column | str) -> Column:
     """Epoch seconds; milliseconds are recognised by size, zero, negative and NULL give NULL."""
     t = _c(c)

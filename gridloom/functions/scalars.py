@@ -72,9 +72,24 @@ def number(v: Column) -> Column:
     return F.when(k == "VOID", F.lit(0.0)).when(~k.isin("OBJECT", "ARRAY"), read)
 
 
-def whole(x: Column) -> Column:
-    """BIGINT of a DOUBLE that is integral and fits, else NULL."""
-    return F.when((x == F.floor(x)) & (F.abs(x) < 9.2e18), x.try_cast("bigint"))
+def whole(x: Column, clamp: bool = False) -> Column:
+    """BIGINT of a DOUBLE that is integral, else NULL. Beyond 64 bits it is NULL too, or with ``clamp`` the nearest there is."""
+    integral = x == F.floor(x)
+    out = F.when(integral & (F.abs(x) < 9.2e18), x.try_cast("bigint"))
+    return out.when((x >= 9.2e18) & (x < float("inf")), F.lit(2**63 - 1)).when((x <= -9.2e18) & (x > float("-inf")), F.lit(-(2**63))) if clamp else out
+
+
+def integral(x: Column) -> Column:
+    """DECIMAL(38,0) of a DOUBLE that is integral and fits, else NULL."""
+    return F.when((F.abs(x) >= 2.0**53) | (x == F.floor(x)), x.try_cast("decimal(38,0)"))
+
+
+def truthy(v: Column) -> Column:
+    """False for absent values, null, false, zero and the empty text, as a lenient script language has it."""
+    k = kind(v)
+    text = text_of(v)
+    number = text.try_cast("double")
+    return F.coalesce(F.when(k == "VOID", F.lit(False)).when(k == "STRING", text != "").when(k == "BOOLEAN", text == "true").when(k == "NUMBER", number != 0).otherwise(k.isNotNull()), F.lit(False))
 
 
 def history_limit(raw: str | None) -> int | None:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from gridloom.shared import written
 
-BLOCK = 200_000  # rows of a consumer beyond which it is cut into blocks; fewer than rows / BLOCK consumers are, which bounds what is broadcast
+BLOCK = 100_000  # rows of a consumer beyond which it is cut into blocks; fewer than rows / BLOCK consumers are, which bounds what is broadcast
 OK, REPLAY, DUPLICATE, QUARANTINED = "OK", "REPLAY", "DUPLICATE_EVENT", "QUARANTINED"
 _BEFORE = -(2**63)  # in the place of ``id``: before all rows
 

@@ -30,9 +30,39 @@ def operator_state(accepted: DataFrame) -> DataFrame:
     )
 
 
-def upsert_operators(state: DataFrame, registrations: DataFrame) -> DataFrame:
-    """Merge (address, resource_type, staked_amount) into the operators: resource and stake are replaced, earnings kept."""
-    s, r = state.alias("s"), registrations.dropDuplicates(["address"]).alias("r")
+def merge_consumers(before: DataFrame, delivered: DataFrame, initial: int = INITIAL_ESCROW) -> DataFrame:
+    """New states of the consumers in ``delivered`` (their states from a delivery alone), going on from ``before``."""
+    b, d = before.alias("b"), delivered.alias("d")
+    spent = F.lit(initial).cast("decimal(38,0)") - F.col("d.escrow_balance")
+    return d.join(b, F.col("d.address").eqNullSafe(F.col("b.address")), "left").select(
+        "d.address",
+        F.coalesce(F.col("b.escrow_balance") - spent, F.col("d.escrow_balance")).cast("decimal(38,0)").alias("escrow_balance"),
+        (F.coalesce("b.total_units_consumed", F.lit(0)) + F.col("d.total_units_consumed")).alias("total_units_consumed"),
+        "d.last_meter_sequence",
+        "d.last_seen",
+    )
+
+
+def merge_operators(before: DataFrame, delivered: DataFrame) -> DataFrame:
+    """New states of the operators in ``delivered``: the last resource, the stake as before, earnings added."""
+    b, d = before.alias("b"), delivered.alias("d")
+    return d.join(b, F.col("d.address").eqNullSafe(F.col("b.address")), "left").select(
+        "d.address",
+        "d.resource_type",
+        F.coalesce("b.staked_amount", "d.staked_amount").alias("staked_amount"),
+        (F.coalesce("b.total_earned", F.lit(0)) + F.col("d.total_earned")).cast("decimal(38,0)").alias("total_earned"),
+    )
+
+
+def upsert_operators(state: DataFrame, registrations: DataFrame, order: str | None = None) -> DataFrame:
+    """Merge (address, resource_type, staked_amount) into the operators: resource and stake are replaced, earnings kept.
+
+    Of several registrations of an address the last in ``order`` counts; without an order they must be unique, and of
+    repeated ones the largest (resource_type, staked_amount) is taken, so the result is the same on every run.
+    """
+    fields = F.struct("resource_type", F.col("staked_amount").cast("decimal(38,0)").alias("staked_amount"))
+    r = registrations.groupBy("address").agg((F.max_by(fields, order) if order else F.max(fields)).alias("r")).select("address", "r.*").alias("r")
+    s = state.alias("s")
     known = F.col("r.address").isNotNull()
     return s.join(r, F.col("s.address") == F.col("r.address"), "full").select(
         F.coalesce("s.address", "r.address").alias("address"),
@@ -97,9 +127,13 @@ def grid_metrics(accepted: DataFrame, consumers: DataFrame, operators: DataFrame
 
 
 def grid_summary(metrics: DataFrame, operators: DataFrame, shares: DataFrame) -> DataFrame:
-    """The metrics with the operators as an array of rows and the distribution as a map."""
+    """The metrics with the operators as an array of rows and the distribution as a map.
+
+    One document with all operators and types is what is asked for here, so one task holds these (merged) rows; where they
+    may be many, the leaderboard and the distribution give the same as tables.
+    """
     ops = operators.groupBy().agg(F.array_sort(F.collect_list(F.struct("place", "address", "resource_type", "staked_amount", "total_earned"))).alias("operators"))
-    dist = shares.groupBy().agg(F.map_from_entries(F.collect_list(F.struct(F.coalesce("resource_type", F.lit("")), "units"))).alias("distribution"))
+    dist = shares.groupBy().agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce("resource_type", F.lit("")), "units")))).alias("distribution"))
     return _beside(_beside(metrics, ops), dist)
 
 

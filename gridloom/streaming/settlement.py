@@ -1,4 +1,4 @@
-"""Continuous settlement: the same rules as the batch operator, as keyed state."""
+"""Continuous settlement: micro-batches onto a kept ledger (events unique over all consumers), or keyed state per consumer."""
 
 from __future__ import annotations
 
@@ -6,9 +6,12 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from gridloom.functions.normalize import integer_text
+from gridloom.operators.kept import Ledger
 from gridloom.operators.settle import DUPLICATE, OK, REPLAY
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -18,7 +21,8 @@ VERDICT_SCHEMA = "id bigint, event_id string, consumer string, operator string,
 class Settler(StatefulProcessor):
     """Per consumer: the last accepted sequence and the accepted events, kept without expiry.
 
-    Exact while every event id belongs to one consumer and batches arrive in order of ``id``. A batch's rows of one
+    Exact while every event id belongs to one consumer and batches arrive in order of ``id``; where events may come from
+    several consumers use :func:`settle_into`. A batch's rows of one
     consumer are ordered in memory; the source's admission control (page size, files per trigger) bounds them.
     """
 
@@ -55,6 +59,24 @@ def settle_stream(ticks: DataFrame) -> DataFrame:
     return ticks.groupBy("consumer").transformWithStateInPandas(Settler(), VERDICT_SCHEMA, "Append", "None")
 
 
+def settle_into(ledger: Ledger, stream: DataFrame, checkpoint: str, available: bool = False, seconds: int = 2, accepted: Callable[[DataFrame], object] | None = None) -> StreamingQuery:
+    """Settle every micro-batch (schema TICK) of a stream onto a kept ledger, under both guards over all consumers.
+
+    A micro-batch is one batch of the ledger, under the number that the stream gives it: if it is repeated after a failure,
+    the ledger has it already and it changes nothing. The ledger must take nothing else. ``accepted`` gets each batch's
+    accepted ticks after they are stored; a repeated batch sends none again. ``available``: settle what is there and stop.
+    """
+
+    def batch(frame: DataFrame, number: int) -> None:
+        ticks = frame.select("id", "event_id", "consumer", "operator", "resource_type", "units_drawn", integer_text("cost").alias("cost"), F.coalesce("meter_sequence", F.lit(0)).alias("meter_sequence"), F.col("timestamp").alias("time"))
+        verdicts = ledger.append(ticks, batch=number + 1)
+        if accepted:
+            accepted(verdicts.filter(verdicts["verdict"] == OK).drop("verdict"))
+
+    out = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (out.trigger(availableNow=True) if available else out.trigger(processingTime=f"{seconds} seconds")).start()
+
+
 def run_available(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
     """Settle what is there and stop: rows go to Parquet files under ``out``; a second run resumes from the checkpoint."""
     query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

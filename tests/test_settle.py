@@ -1,4 +1,4 @@
-from hypothesis import HealthCheck, given, settings
+from hypothesis import HealthCheck, Phase, given, settings
 from hypothesis import strategies as st
 
 from gridloom.operators import settle as S
@@ -31,7 +31,7 @@ def rows_of(parts):
 one = st.tuples(st.integers(-1, 12), st.integers(0, 3), st.integers(-1, 6), st.sampled_from([True] * 9 + [False]))
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=12, deadline=None, phases=[Phase.explicit, Phase.reuse, Phase.generate], suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(one, max_size=60), st.sampled_from([4, 7, 1000]))
 def test_settlement_equals_the_sequential_fold(spark, parts, block):
     before, S.BLOCK = S.BLOCK, block
@@ -43,7 +43,7 @@ def test_settlement_equals_the_sequential_fold(spark, parts, block):
         S.BLOCK = before
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=8, deadline=None, phases=[Phase.explicit, Phase.reuse, Phase.generate], suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(one, min_size=2, max_size=50), st.integers(1, 49))
 def test_two_parts_settle_as_one(spark, parts, cut):
     rows = [r for r in rows_of(parts) if r[2] is not None]

@@ -54,16 +54,40 @@ def test_ingest(spark):
         (good, None, 7000), ({**good, "cost": "0x10"}, None, 16), ({**good, "cost": ""}, None, 0), ({**good, "cost": "1.5"}, "cost", None), ({**good, "cost": -1}, "negative cost", -1),
         ({**good, "units_drawn": "abc"}, "units_drawn", None), ({**good, "units_drawn": "25"}, None, 25000), ({**good, "units_drawn": 2.5}, "units_drawn", None), ({**good, "units_drawn": True}, None, 1000),
         ({**good, "meter_sequence": 0}, "meter_sequence", 7000), ({**good, "timestamp": None}, None, 7000), ({**good, "timestamp": "x"}, "timestamp", 7000), ({**good, "consumer": ""}, "consumer, operator", 7000),
-        ({**good, "resource_type": None}, "null field", 7000), ({k: v for k, v in good.items() if k != "event_id"}, None, 7000), ([], "unreadable body", None),
+        ({**good, "resource_type": None}, "null field", 7000), ({k: v for k, v in good.items() if k != "event_id"}, None, 7000), ([], "consumer, operator", None),
+        ({**good, "consumer": 0}, "consumer, operator", 7000), ({**good, "operator": False}, "consumer, operator", 7000), ({**good, "consumer": True}, "unreadable consumer", 7000), ({**good, "operator": {}}, "null field", 7000),
+        ({**good, "units_drawn": 1e21, "consumer": "d", "event_id": "big"}, None, 10**24), ({**good, "units_drawn": 1e300}, "units_drawn", None), ({**good, "event_id": None, "consumer": "e"}, "null field", 7000),
     ]
     df = spark.createDataFrame([(k, json.dumps(c[0])) for k, c in enumerate(cases)] + [(99, None), (98, '{"a')], "request_id bigint, body string").withColumn("received_at", F.lit("2025-01-01 00:00:01").cast("timestamp_ntz"))
     got = {r["id"]: r for r in ingest.validate(df).collect()}
     for k, (_, error, cost) in enumerate(cases):
         assert got[k]["error"] == error, k
         assert (None if got[k]["cost"] is None else int(got[k]["cost"])) == cost, k
-    assert got[14]["event_id"] == "sim-1735689601000-14" and got[99]["status"] == got[98]["status"] == 500
+    assert got[14]["event_id"] == "sim-1735689601000-14" and got[98]["status"] == 500 and (got[99]["status"], got[99]["error"]) == (400, "consumer, operator")
     status = {r["id"]: r["status"] for r in ingest.outcomes(ingest.validate(df)).collect()}
-    assert status[0] == 201 and status[1] == 409 and status[3] == 400 and status[13] == 500 and len(status) == len(cases) + 2
+    assert status[0] == 201 and status[1] == 409 and status[3] == 400 and len(status) == len(cases) + 2
+    assert status[13] == status[19] == 409  # the guard comes first: the sequence is replayed
+    assert status[18] == status[22] == 500 and status[20] == 201
+    assert {r["status"] for r in ingest.validate(df, production=True).collect()} == {403}
+
+
+def test_acknowledgements_and_fields_that_cannot_be_stored(spark):
+    base = {"consumer": "c", "operator": "o", "units_drawn": 10, "cost": "10000", "timestamp": 5}
+    bodies = [{**base, "meter_sequence": 2, "event_id": "a"}, {**base, "meter_sequence": 9, "event_id": "b", "resource_type": None}, {**base, "meter_sequence": 3, "event_id": "b"}, {**base, "meter_sequence": 3, "event_id": None}, {**base, "meter_sequence": 4, "event_id": "kept"}]
+    df = spark.createDataFrame([(k, json.dumps(b)) for k, b in enumerate(bodies)], "request_id bigint, body string").withColumn("received_at", F.lit("2025-01-01 00:00:01").cast("timestamp_ntz"))
+    known = spark.createDataFrame([("kept",)], "event_id string")
+    initial = spark.createDataFrame([("c", 1)], "consumer string, last_meter_sequence bigint")
+    done = ingest.outcomes(ingest.validate(df), initial, known)
+    # 1: can't be stored and changes nothing, so 2 is accepted; 3: the guard refuses before the field does
+    assert [(r["status"], r["error"]) for r in done.orderBy("id").collect()] == [(201, None), (500, "null field"), (201, None), (409, "REPLAY"), (409, "DUPLICATE_EVENT")]
+    answers = ingest.acknowledgements(done, spark.createDataFrame([("c", 9_975_000)], "address string, escrow_balance bigint")).orderBy("id").collect()
+    assert [tuple(r) for r in answers] == [(0, "ingested", "a", "c", "o", "10000", 2, "9965000"), (2, "ingested", "b", "c", "o", "10000", 3, "9955000")]
+
+
+def test_integer_prefix(spark):
+    want = {"12": 12, " -7x": -7, "+3.9": 3, "1e3": 1, "abc": 0, "": 0, "-": 0, "9223372036854775808": 2**63 - 1, "-99999999999999999999999999999999999999999": -(2**63), "-9223372036854775808": -(2**63), "000000000000000000000000000005": 5, None: None}
+    df = spark.createDataFrame([(k,) for k in want], "c string")
+    assert {r["c"]: r["v"] for r in df.select("c", N.integer_prefix("c").alias("v")).collect()} == want
 
 
 def test_page_source(spark, tmp_path):
