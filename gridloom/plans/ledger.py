@@ -237,6 +237,13 @@ def cursor_latest(spark, sf_dir):
     return events.cursor_latest(table(spark, sf_dir, "raw_chain_events"))
 
 
+def cursor_history(spark, sf_dir):
+    """The cursor store after every page wrote its last event under the page's parity: the last value of each key."""
+    pages = table(spark, sf_dir, "raw_chain_events").groupBy("page_no").agg(F.max("ingest_ordinal").alias("value"))
+    writes = pages.select(F.concat(F.lit("contract-"), (F.col("page_no") % 2).cast("string"), F.lit(":cursor")).alias("key"), "value", F.col("page_no").alias("order"))
+    return events.cursor_store(writes)
+
+
 def page_counts(spark, sf_dir):
     """Raw events per page (the poller's count), and how many of them are ticks."""
     raw = table(spark, sf_dir, "raw_chain_events")
@@ -276,7 +283,7 @@ QUERIES = {
     for f in (
         decode_ticks, symbol_decode, public_frame, frame_json, replay_guard, dedup_events, rejections, settled_ledger, running_balance, consumer_state, operator_state,
         upsert_operator, consumer_lookup, operator_lookup, consumer_history, history_unbounded, consumer_detail, consumer_response, consumer_unknown, consumers_summary, operators_summary, ledger_totals, distribution,
-        operator_leaderboard_text, operator_leaderboard_numeric, grid_metrics, grid_summary, validate_ingest, default_cost, ingest_outcomes, ingest_acknowledgements, cursor_latest, page_counts, two_deliveries, stream_settle, stream_ledger,
+        operator_leaderboard_text, operator_leaderboard_numeric, grid_metrics, grid_summary, validate_ingest, default_cost, ingest_outcomes, ingest_acknowledgements, cursor_latest, cursor_history, page_counts, two_deliveries, stream_settle, stream_ledger,
     )
 }
 
@@ -428,6 +435,8 @@ UNION ALL SELECT good.id, event_id, CAST(CASE verdict WHEN 'OK' THEN 201 WHEN 'N
     "ingest_acknowledgements": f"""{_INGESTED}, ok AS (SELECT good.* FROM good JOIN verdicts USING (id) WHERE verdict = 'OK')
 SELECT id, 'ingested' AS status, event_id, consumer, operator, CAST(cost AS VARCHAR) AS cost, meter_sequence, CAST(CAST({INITIAL_ESCROW} - sum(cost) OVER (PARTITION BY consumer ORDER BY id ROWS UNBOUNDED PRECEDING) AS HUGEINT) AS VARCHAR) AS escrow_balance FROM ok""",
     "cursor_latest": "SELECT 'cursor' AS key, arg_max(page_no, ingest_ordinal) || ':' || max(ingest_ordinal) AS value, count(payload) AS indexed FROM raw_chain_events",
+    "cursor_history": """SELECT 'contract-' || (page_no % 2) || ':cursor' AS key, CAST(arg_max(value, page_no) AS VARCHAR) AS value
+FROM (SELECT page_no, max(ingest_ordinal) AS value FROM raw_chain_events GROUP BY page_no) GROUP BY 1""",
     "page_counts": f"{_DECODED} SELECT r.page_no, count(*) AS indexed, count(d.ingest_ordinal) AS ticks FROM raw_chain_events r LEFT JOIN decoded d ON d.ingest_ordinal = r.ingest_ordinal GROUP BY r.page_no",
     "stream_settle": f"{_LEDGER} SELECT * FROM cs",
     "stream_ledger": f"{_LEDGER} SELECT * FROM cs",

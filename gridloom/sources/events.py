@@ -56,7 +56,7 @@ def http_poll(url: str, params: dict[str, Any], timeout: float = 30.0) -> dict[s
     with urllib.request.urlopen(request, timeout=timeout) as response:
         answer = json.load(response)
     if answer.get("error"):
-        raise RuntimeError(f"RPC error: {answer['error'].get('message')}")
+        raise RuntimeError(f"the event source answered with an error: {answer['error']}")
     return answer.get("result") or {}
 
 
@@ -75,15 +75,15 @@ class _PageReader(SimpleDataSourceStreamReader):
         self.start_cursor, self.poll = options.get("startcursor"), poll
 
     def initialOffset(self) -> dict[str, Any]:
-        return {"cursor": self.start_cursor, "read": 0}
+        return {"cursor": self.start_cursor, "read": 0, "pages": 0}
 
     def _page(self, start: dict[str, Any]) -> tuple[list[tuple[int, int, str]], dict[str, Any]]:
         answer = self.poll(self.url, page_params(self.contract, start["cursor"], self.limit)) or {}
         events = answer.get("events") or []
-        rows = [(start["read"] + k, start["read"] // max(1, self.limit), json.dumps(e)) for k, e in enumerate(events)]
+        rows = [(start["read"] + k, start["pages"], json.dumps(e)) for k, e in enumerate(events)]
         # a page without events leaves the cursor as it was, even if it names one
         cursor = (answer.get("cursor") or start["cursor"]) if events else start["cursor"]
-        return rows, {"cursor": cursor, "read": start["read"] + len(events)}
+        return rows, {"cursor": cursor, "read": start["read"] + len(events), "pages": start["pages"] + bool(events)}
 
     def read(self, start: dict[str, Any]) -> tuple[Iterator[tuple[int, int, str]], dict[str, Any]]:
         rows, end = self._page(start)
@@ -114,8 +114,13 @@ def event_source(poll: PollFn = http_poll, name: str = "metering_events") -> typ
     return MeteringEvents
 
 
-def cursor_latest(events: DataFrame, page: str = "page_no", order: str = "ingest_ordinal", payload: str = "payload") -> DataFrame:
-    """(key, value): the last non-empty page's cursor (its last event) and the events indexed so far, accepted or not."""
+def cursor_latest(events: DataFrame, key: str = "cursor", page: str = "page_no", order: str = "ingest_ordinal", payload: str = "payload") -> DataFrame:
+    """(key, value, indexed): the last non-empty page's cursor (its last event) and the events indexed so far, accepted or not."""
     return events.agg(F.max_by(page, order).alias("page"), F.max(order).alias("last"), F.count(payload).alias("indexed")).select(
-        F.lit("cursor").alias("key"), F.concat_ws(":", F.col("page").cast("string"), F.col("last").cast("string")).alias("value"), "indexed"
+        F.lit(key).alias("key"), F.concat_ws(":", F.col("page").cast("string"), F.col("last").cast("string")).alias("value"), "indexed"
     )
+
+
+def cursor_store(writes: DataFrame, key: str = "key", value: str = "value", order: str = "order") -> DataFrame:
+    """(key, value): a key-value store from all its writes; the last value of a key wins, as text. NULL values are values."""
+    return writes.groupBy(key).agg(F.max_by(F.struct(F.col(value).cast("string").alias("v")), order).alias("last")).select(key, F.col("last.v").alias(value))

@@ -104,8 +104,9 @@ def test_page_source(spark, tmp_path):
         rows, end = reader.read(offset)
         assert list(reader.readBetweenOffsets(offset, end)) == (rows := list(rows))
         seen += [json.loads(p)["id"] for _, _, p in rows]
+        assert len({n for _, n, _ in rows}) <= 1 and all(n == offset["pages"] for _, n, _ in rows)
         offset = end
-    assert seen == ["a", "b", "c"] and offset == {"cursor": "x", "read": 3}
+    assert seen == ["a", "b", "c"] and offset == {"cursor": "x", "read": 3, "pages": 2}
     spark.dataSource.register(events.event_source(poll, "test_pages"))
     query = spark.readStream.format("test_pages").option("url", "u").option("contract", "K").load().writeStream.format("memory").queryName("pages").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="0 seconds").start()
     try:
