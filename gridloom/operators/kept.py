@@ -8,6 +8,8 @@ look-up reads one bucket of files; a state is the newest row of its key.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,14 +93,14 @@ class Ledger:
         if done:
             return verdicts
         accepted = verdicts.filter(F.col("verdict") == OK)
-        self._write(accepted, "ticks", batch)
-        self._write(verdicts.filter(F.col("verdict") != OK), "rejected", batch)
         consumers, operators = state.consumer_state(accepted), state.operator_state(accepted)
         if last:
             consumers = state.merge_consumers(before, consumers)
             operators = state.merge_operators(self._newest("operators", last), operators)
-        self._write(consumers, "consumers", batch)
-        self._write(operators, "operators", batch)
+        tables = {"ticks": accepted, "rejected": verdicts.filter(F.col("verdict") != OK), "consumers": consumers, "operators": operators}
+        with ThreadPoolExecutor(len(tables)) as at_once:  # independent jobs over the written verdicts
+            for job in [at_once.submit(self._write, df, table, batch) for table, df in tables.items()]:
+                job.result()
         self._cursors(cursors, batch)
         self._commit(batch)
         return verdicts
