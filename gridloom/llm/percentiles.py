@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gridloom.shared import written
 
+PART_ROWS = 4_000_000  # rows of a partition of the sort
 RUNS = ["grp", "metric", "value", "n", "part", "upto"]
 
 
@@ -73,15 +74,21 @@ def sorted_runs(df: DataFrame, group: str, metrics: Sequence[str], weight: str |
     holds a third of all rows is spread over partitions, too.
     """
     w = F.lit(1).cast("bigint") if weight is None else F.col(weight).cast("bigint")
-    pair = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("bigint").alias("value")) for m in metrics)))
     tie = F.rand(7) * 1024 if spread is None else F.pmod(F.xxhash64(spread), F.lit(1024))
-    long = df.select(F.col(group).cast("string").alias("grp"), w.alias("n"), tie.cast("int").alias("tie"), pair.alias("p")).select("grp", "p.metric", "p.value", "n", "tie")
-    return _sort(long.filter(F.col("value").isNotNull() & (F.col("n") > 0)), partitions)
+    # written, as the range shuffle reads its input twice: for the ranges' bounds and for the rows
+    rows = written(df.select(F.col(group).cast("string").alias("grp"), w.alias("n"), tie.cast("int").alias("tie"), *(F.col(m).cast("bigint").alias(f"m{k}") for k, m in enumerate(metrics))), "rows")
+    pair = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(f"m{k}").alias("value")) for k, m in enumerate(metrics))))
+    long = rows.select("grp", "n", "tie", pair.alias("p")).select("grp", "p.metric", "p.value", "n", "tie")
+    return _sort(long.filter(F.col("value").isNotNull() & (F.col("n") > 0)), partitions or _parts(rows, len(metrics)))
 
 
-def _sort(long: DataFrame, partitions: int | None) -> DataFrame:
+def _parts(rows: DataFrame, times: int = 1) -> int:
+    """Partitions for a written table: the session's number, or more so that each gets about PART_ROWS rows."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() * times // PART_ROWS + 1)
+
+
+def _sort(long: DataFrame, count: int) -> DataFrame:
     by = ["grp", "metric", "value", "tie"]
-    count = partitions or int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = long.repartitionByRange(count, *by).sortWithinPartitions("grp", "metric", "value")
     numbered = parts.select("grp", "metric", "value", "n", F.spark_partition_id().alias("part"))
     return written(numbered.mapInArrow(_runs, "grp string, metric string, value bigint, n bigint, part int, upto bigint"), "runs")
@@ -92,7 +99,7 @@ def combine_runs(*states: DataFrame, partitions: int | None = None) -> DataFrame
     all_rows = states[0].select(RUNS[:4])
     for s in states[1:]:
         all_rows = all_rows.unionByName(s.select(RUNS[:4]))
-    return _sort(all_rows.withColumn("tie", F.lit(0)), partitions)
+    return _sort(all_rows.withColumn("tie", F.lit(0)), partitions or _parts(all_rows))
 
 
 def percentiles_of_runs(runs: DataFrame, quantiles: Sequence[float]) -> DataFrame:
