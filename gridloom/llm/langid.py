@@ -217,7 +217,7 @@ def _path(bits: np.ndarray, switch: Sequence[float]) -> np.ndarray:
     """Languages of consecutive units with the least total code length, a change after unit i costing ``switch[i]`` bits."""
     n, m = bits.shape
     own = bits.argmin(axis=1)
-    if (own == own[0]).all():  # each unit's best is the path's
+    if n == 1 or (own == own[0]).all():  # each unit's best is the path's
         return own
     best, back = bits[0].copy(), np.zeros((n, m), np.int64)
     for i in range(1, n):
@@ -260,8 +260,9 @@ BATCH_CHARS = 200_000
 REMEMBERED = 50_000  # sentences whose code lengths a worker keeps, as repeated ones are frequent
 
 
-def _label(model: FrozenPPM, ids: list[int], texts: list[str], named: list[str | None], known: dict[str, tuple] | None = None) -> pa.RecordBatch:
-    cleaned = [prose(t) for t in texts]
+def _label(model: FrozenPPM, ids: list[int], texts: list[str], named: list[str | None], known: dict[str, tuple] | None = None, kinds: dict[str, int] | None = None) -> pa.RecordBatch:
+    kinds = {} if kinds is None else kinds
+    cleaned = [prose(t, kinds) for t in texts]
     scored = iter(model.scored([clean[a:b] for clean, spans in cleaned for a, b in spans], known))
     rows: list[tuple] = []
     for d, (clean, spans) in enumerate(cleaned):
@@ -338,6 +339,7 @@ def language_segments(docs: DataFrame, model: FrozenPPM, doc_id: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         known: dict[str, tuple] = {}
+        kinds: dict[str, int] = {}
         for batch in batches:
             ids, texts, named, size = [], [], [], 0
             for i, t, label in zip(*(batch.column(k).to_pylist() for k in range(3))):
@@ -348,10 +350,10 @@ def language_segments(docs: DataFrame, model: FrozenPPM, doc_id: str = "doc_id",
                 if len(known) > REMEMBERED:
                     known.clear()
                 if size >= BATCH_CHARS:
-                    yield _label(m, ids, texts, named, known)
+                    yield _label(m, ids, texts, named, known, kinds)
                     ids, texts, named, size = [], [], [], 0
             if ids:
-                yield _label(m, ids, texts, named, known)
+                yield _label(m, ids, texts, named, known, kinds)
 
     label = F.col(lang).cast("string") if lang else F.lit(None).cast("string")
     return docs.select(F.col(doc_id).cast("bigint"), F.col(text), label).mapInArrow(run, SEGMENT_SCHEMA)

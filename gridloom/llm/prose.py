@@ -18,6 +18,7 @@ _CODE = re.compile(r"[_{}<>=$|&\\\[\];]|\w\(")
 _END = re.compile(r"(?<=[.!?…])[\"'”»’)]*\s+")
 _UNSEEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 LEAST_PLAIN = 0.7
+REMEMBERED = 200_000  # tokens whose kind is kept
 
 
 def visible(text: str) -> str:
@@ -27,15 +28,23 @@ def visible(text: str) -> str:
     return unicodedata.normalize("NFKC", _UNSEEN.sub("", text))
 
 
-def _is_prose(line: str) -> bool:
+def _token_kind(token: str) -> int:
+    """2: a plain word, 1: code or the like, 0: a number or a sign."""
+    return 2 if _PLAIN.match(token) else int(bool(_CODE.search(token)) or not _NUMBER.match(token))
+
+
+def _is_prose(line: str, known: dict[str, int]) -> bool:
     if _SIMPLE.match(line):
         return True
-    plain = other = 0
+    kinds = []
     for token in visible(line).split():
-        if _PLAIN.match(token):
-            plain += 1
-        elif _CODE.search(token) or not _NUMBER.match(token):
-            other += 1
+        kind = known.get(token)
+        if kind is None:
+            if len(known) >= REMEMBERED:
+                known.clear()
+            kind = known[token] = _token_kind(token)
+        kinds.append(kind)
+    plain, other = kinds.count(2), kinds.count(1)
     return plain > 0 and plain >= LEAST_PLAIN * (plain + other)
 
 
@@ -44,19 +53,22 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     return prose(text)[1]
 
 
-def prose(text: str | None) -> tuple[str, list[tuple[int, int]]]:
+def prose(text: str | None, known: dict[str, int] | None = None) -> tuple[str, list[tuple[int, int]]]:
     """``text`` with links, tags and code blanked out (offsets stay), and (start, end) of its prose sentences, in order.
 
-    None and blank texts have none.
+    None and blank texts have none. ``known`` keeps what kind of tokens were seen before.
 
     Left out: fenced blocks, <pre> and <code> blocks, lines indented by four blanks or a tab, links, other tags, and
     lines of which less than LEAST_PLAIN of the tokens are plain words (numbers don't count either way).
     """
     if not text or text.isspace():
         return "", []
+    known = {} if known is None else known
     blank = lambda m: " " * (m.end() - m.start())  # noqa: E731 - offsets stay as they are
     keep = lambda m: "".join(c if c in "\r\n" else " " for c in m.group())
-    clean = _LINK.sub(blank, _TAG.sub(blank, _PRE.sub(keep, text)) if "<" in text else text)
+    clean = _TAG.sub(blank, _PRE.sub(keep, text)) if "<" in text else text
+    if "://" in clean or "www." in clean.lower():
+        clean = _LINK.sub(blank, clean)
     out: list[tuple[int, int]] = []
     fenced, at = False, 0
     for line in clean.splitlines(keepends=True):
@@ -64,7 +76,7 @@ def prose(text: str | None) -> tuple[str, list[tuple[int, int]]]:
         if _FENCE.match(line):
             fenced = not fenced
             continue
-        if fenced or line.startswith(("    ", "\t")) or not _is_prose(line):
+        if fenced or line.startswith(("    ", "\t")) or not _is_prose(line, known):
             continue
         from_ = start
         for m in _END.finditer(line):
