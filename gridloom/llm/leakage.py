@@ -39,6 +39,8 @@ PIECE = 5  # words of a stretch that counts for the share of a whole item
 WHOLE = 0.7  # share of an item's words that makes a leak of the whole item
 MATCHED = 0.6  # share of a stretch's words, and of its rare terms, that must match
 STRICT = 0.85  # share of a stretch's words that must match if it has fewer than two rare matches
+MANY = 500  # matches of a pair from which those that stand alone are set aside first
+BATCH_MATCHES = 2_000_000  # matches of all pairs that a worker handles at once
 BROADCAST_PAIRS = 500_000  # up to so many candidate pairs their document ids are broadcast (16 bytes each), beyond they are joined
 MAX_ITEM_CHARS = 20_000_000  # bound of the evaluation items' texts, and so of what is broadcast about them; an error beyond
 
@@ -79,7 +81,7 @@ def _phrase_keys(ids: np.ndarray) -> np.ndarray:
 
 
 def positional_index(docs: DataFrame, vocabulary: dict[str, int] | None = None, doc_id: str = "doc_id", text: str = "text", phrases: np.ndarray | None = None) -> DataFrame:
-    """(term, doc_id, positions, quoted) for all terms, or those of ``vocabulary`` (whose size the caller bounds).
+    """(term, doc_id, positions, quoted) for all terms, or those of ``vocabulary`` (numbered from 1 in order; the caller bounds its size).
 
     ``phrases``: sorted keys of phrases over the vocabulary's numbers; the n-th has the term " n", and its words
     are ``quoted``. Whole texts; NULL and
@@ -91,30 +93,42 @@ def positional_index(docs: DataFrame, vocabulary: dict[str, int] | None = None,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep, known = shared.value
+        names = None if keep is None else pa.array(["", *keep])
         for batch in batches:
-            terms: list[str] = []
-            ids: list[int | bytes] = []
-            positions: list[list[int]] = []
-            quoted: list[bool] = []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own: dict[str, list[int]] = {}
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            own: dict[str, int] = {}
+            numbers: list[int] = []
+            size = np.zeros(len(texts), np.int64)
+            for d, t in enumerate(texts):
                 words = tokens(t)
-                within: set[str] = set()
-                numbers = None if keep is None else list(map(keep.get, words, repeat(0)))
-                for k, w in enumerate(words):
-                    if numbers is None or numbers[k]:
-                        own.setdefault(w, []).append(k)
-                if known is not None and len(known) and len(words) >= PHRASE:
-                    keys = _phrase_keys(np.array(numbers))
-                    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                    for k in np.flatnonzero(known[at] == keys).tolist():
-                        own.setdefault(f" {at[k]}", []).append(k)
-                        within.update(words[k : k + PHRASE])
-                terms += own
-                ids += [i] * len(own)
-                positions += own.values()
-                quoted += [w in within for w in own]
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(ids, schema.field(1).type), pa.array(positions, schema.field(2).type), pa.array(quoted, pa.bool_())], schema=schema)
+                size[d] = len(words)
+                numbers += [own.setdefault(w, len(own) + 1) for w in words] if keep is None else map(keep.get, words, repeat(0))
+                numbers += [0] * PHRASE  # no phrase reaches into the next text
+            if not numbers:
+                continue
+            term = np.array(numbers, np.int64)
+            start = np.cumsum(size + PHRASE) - size - PHRASE
+            doc = np.repeat(np.arange(len(texts)), size + PHRASE)
+            place = np.arange(len(term)) - start[doc]
+            within = np.zeros(len(term), bool)
+            groups = []
+            if known is not None and len(known):
+                keys = _phrase_keys(term)
+                found = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                at = np.flatnonzero(known[found] == keys)
+                for k in range(PHRASE):
+                    within[at + k] = True
+                groups.append((at, found[at], True))
+            at = np.flatnonzero(term)
+            groups.append((at, term[at], False))
+            for at, number, phrase in groups:
+                order = np.lexsort((at, number, doc[at]))
+                at, number = at[order], number[order]
+                first = np.flatnonzero(np.r_[True, (number[1:] != number[:-1]) | (doc[at][1:] != doc[at][:-1])][: len(at)])
+                text = pa.array([f" {n}" for n in number[first].tolist()], pa.string()) if phrase else (pa.array(["", *own]) if names is None else names).take(pa.array(number[first]))
+                positions = pa.ListArray.from_arrays(pa.array(np.r_[first, len(at)].astype(np.int32)), pa.array(place[at].astype(np.int32)))
+                quoted = np.zeros(len(first), bool) if phrase or not len(first) else np.maximum.reduceat(within[at], first)
+                yield pa.RecordBatch.from_arrays([text.cast(pa.string()), ids.take(pa.array(doc[at][first])), positions, pa.array(quoted)], schema=schema)
 
     kind = "binary" if binary else "bigint"
     return docs.select(F.col(doc_id).cast(kind), F.col(text)).mapInArrow(run, f"term string, doc_id {kind}, positions array<int>, quoted boolean")
@@ -144,13 +158,13 @@ def _seeds(item: pd.DataFrame, df: dict[str, int]) -> pd.DataFrame:
 
 
 def _met(i: np.ndarray, j: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per match: a phrase begins here in both texts; it belongs to such a phrase that is the item's ``own``."""
+    """Per match: a phrase begins here in both texts; it belongs to such a phrase that is the item's ``own`` (a flag per match)."""
     o = np.lexsort((i, j - i))
     a, d = i[o], (j - i)[o]
     new = np.r_[True, (d[1:] != d[:-1]) | (a[1:] != a[:-1] + 1)]
     end = np.r_[np.flatnonzero(new)[1:], len(o)][np.cumsum(new) - 1]
     starts = end - np.arange(len(o)) >= PHRASE
-    first = np.flatnonzero(starts & own[a])
+    first = np.flatnonzero(starts & own[o])
     inside = np.zeros(len(o), bool)
     for k in range(PHRASE):
         inside[first + k] = True
@@ -208,29 +222,39 @@ def stretches(i: np.ndarray, j: np.ndarray, rare: np.ndarray, anchor: np.ndarray
     if not anchor.any():
         return []
     near = _near(i, j, i[anchor], j[anchor])
-    i, j, rare = i[near], j[near], rare[near]
-    linked = _linked(i, j)
-    i, j, rare = i[linked], j[linked], rare[linked]
+    return _chains(i[near], j[near], rare[near])
+
+
+def _chains(i: np.ndarray, j: np.ndarray, rare: np.ndarray) -> list[tuple[int, int, int, int, int, int, int]]:
+    """The stretches of matches that count."""
+    if len(i) > MANY:  # a word that a text repeats without end: most of its matches stand alone
+        linked = _linked(i, j)
+        i, j, rare = i[linked], j[linked], rare[linked]
     o = np.lexsort((i, j))
-    i, j, rare = i[o], j[o], rare[o]
+    low = np.searchsorted(j[o], j[o] - DRIFT).tolist()
+    i, j, rare = i[o].tolist(), j[o].tolist(), rare[o].tolist()
     n = len(i)
-    score, rares, first, begin = np.ones(n, np.int64), rare.astype(np.int64), i.copy(), j.copy()
-    low = np.searchsorted(j, j - DRIFT)
+    score, rares, first, begin = [1] * n, [int(r) for r in rare], i.copy(), j.copy()
     for k in range(n):
-        a = np.arange(low[k], k)
-        a = a[(j[a] < j[k]) & (i[a] < i[k]) & (i[k] - i[a] <= DRIFT)]
-        if len(a):
-            # more matches first, then the straighter chain
-            b = a[np.lexsort((-np.abs((j[a] - i[a]) - (j[k] - i[k])), score[a]))[-1]]
-            score[k], rares[k], first[k], begin[k] = score[b] + 1, rares[b] + int(rare[k]), first[b], begin[b]
+        ik, jk = i[k], j[k]
+        best = -1
+        for a in range(low[k], k):
+            if j[a] < jk and 0 < ik - i[a] <= DRIFT:
+                # more matches first, then the straighter chain
+                bend = -abs((j[a] - i[a]) - (jk - ik))
+                if best < 0 or score[a] > score[best] or (score[a] == score[best] and bend >= best_bend):
+                    best, best_bend = a, bend
+        if best >= 0:
+            score[k], rares[k], first[k], begin[k] = score[best] + 1, rares[best] + rares[k], first[best], begin[best]
     taken: set[int] = set()
     out = []
-    for k in np.argsort(-score, kind="stable"):
+    for k in sorted(range(n), key=lambda k: -score[k]):
+        size = i[k] + 1 - first[k]
         covered = set(range(first[k], i[k] + 1))
-        if len(covered & taken) * 2 > len(covered):
+        if len(covered & taken) * 2 > size:
             continue
         taken |= covered
-        out.append((int(first[k]), int(i[k]), int(score[k]), int(rares[k]), int(i[k] - first[k] + 1 - score[k]), int(begin[k]), int(j[k])))
+        out.append((first[k], i[k], score[k], rares[k], size - score[k], begin[k], j[k]))
     return out
 
 
@@ -279,50 +303,78 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
 
     lists = item.groupby(["item_id", "term"], sort=False).agg(item_positions=("pos", list), rare=("rare", "first")).reset_index()
     terms = spark.createDataFrame(lists, "item_id bigint, term string, item_positions array<int>, rare boolean")
-    words = {int(k): int(v) for k, v in item.groupby("item_id").size().items()}
-    rare_at = {int(k): v.to_numpy() for k, v in item[item["rare"]].groupby("item_id")["pos"]}
-    own_at = {int(k): v.to_numpy() for k, v in item[item["own"]].groupby("item_id")["pos"]}
+    # the items' words lie one after the other: where each item begins, how many rare terms come before, which phrases are own
+    size_of = np.bincount(item["item_id"].to_numpy())
+    begin_of = np.cumsum(size_of) - size_of
+    rares_upto = np.r_[0, np.cumsum(item["rare"].to_numpy())]
+    own_word = item["own"].to_numpy()
     wanted = candidates.join(F.broadcast(terms), "item_id")
     if candidates.count() <= BROADCAST_PAIRS:  # few documents are candidates: the others' postings need not move
         index = index.join(F.broadcast(candidates.select("hash").distinct()), "hash", "left_semi")
     both = wanted.join(index, ["hash", "term"]).groupBy("hash", "item_id").agg(F.collect_list(F.struct("item_positions", "positions", "rare")).alias("m"))
 
-    def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for d, it, matches in zip(frame["hash"], frame["item_id"], frame["m"]):
-                ii, jj, rr = [], [], []
-                for m in matches:
-                    a, b = np.asarray(m["item_positions"]), np.asarray(m["positions"])
-                    ii.append(np.repeat(a, len(b)))
-                    jj.append(np.tile(b, len(a)))
-                    rr.append(np.full(len(a) * len(b), m["rare"]))
-                covered = longest = 0
-                exact = False
-                rares = rare_at.get(it, np.zeros(0))
-                i, j = np.concatenate(ii), np.concatenate(jj)
-                own = np.zeros(int(i.max()) + 1, bool)
-                mine = own_at.get(it, np.zeros(0, np.int64))
-                own[mine[mine < len(own)]] = True
-                begins, anchor = _met(i, j, own)
-                for a, b, matched, rare, gaps, ja, jb in stretches(i, j, np.concatenate(rr), anchor):
-                    size = b - a + 1
-                    inside = int(((rares >= a) & (rares <= b)).sum())
-                    if size < PIECE or matched < MATCHED * size:
-                        continue
-                    if rare < 2 or rare < MATCHED * inside:
-                        met = own[np.unique(i[begins & (i >= a) & (i + PHRASE - 1 <= b) & (j >= ja) & (j + PHRASE - 1 <= jb)])]
-                        if size < min(STRETCH, words[it]) or matched < STRICT * size or inside - rare > 1 or not met.any() or 2 * met.sum() < len(met):
-                            continue
-                    covered += size
-                    if size > longest:
-                        longest, exact = size, gaps == 0
-                share = min(1.0, covered / words[it])
-                if longest >= STRETCH or share >= WHOLE:
-                    out.append((d, it, share, longest, exact, longest_run(i, j)))
-            yield pd.DataFrame(out, columns=["hash", "item", "share", "longest", "exact", "run"])
-
-    found = both.mapInPandas(check, "hash binary, item bigint, share double, longest int, exact boolean, run int")
+    def judge(it: int, i: np.ndarray, j: np.ndarray, begins: np.ndarray, found: list[tuple]) -> tuple | None:
+        """(share, longest, exact, run) of a pair from its matches and its stretches; None if it is no leak."""
+        words, at = int(size_of[it]), int(begin_of[it])
+        covered = longest = 0
+        exact = False
+        for a, b, matched, rare, gaps, ja, jb in found:
+            size = b - a + 1
+            inside = int(rares_upto[at + b + 1] - rares_upto[at + a])
+            if size < PIECE or matched < MATCHED * size:
+                continue
+            if rare < 2 or rare < MATCHED * inside:
+                met = own_word[at + np.unique(i[begins & (i >= a) & (i + PHRASE - 1 <= b) & (j >= ja) & (j + PHRASE - 1 <= jb)])]
+                if size < min(STRETCH, words) or matched < STRICT * size or inside - rare > 1 or not met.any() or 2 * met.sum() < len(met):
+                    continue
+            covered += size
+            if size > longest:
+                longest, exact = size, gaps == 0
+        share = min(1.0, covered / words)
+        return (share, longest, exact, longest_run(i, j)) if longest >= STRETCH or share >= WHOLE else None
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            lists = whole.column("m")
+            terms = lists.flatten()
+            ip, dp = terms.field("item_positions"), terms.field("positions")
+            na, nb = ip.value_lengths().to_numpy().astype(np.int64), dp.value_lengths().to_numpy().astype(np.int64)
+            iv, dv = ip.flatten().to_numpy(), dp.flatten().to_numpy()
+            ia, da = np.cumsum(na) - na, np.cumsum(nb) - nb
+            rare_term = terms.field("rare").to_numpy(zero_copy_only=False)
+            ends = np.cumsum(lists.value_lengths().to_numpy())
+            item_of = whole.column("item_id").to_numpy()
+            matches = np.r_[0, np.cumsum(na * nb)][np.r_[0, ends]]  # before each pair, and in all
+            out: list[tuple] = []
+            p = 0
+            while p < len(ends):
+                q = max(p + 1, int(np.searchsorted(matches, matches[p] + BATCH_MATCHES, side="right")) - 1)
+                t0, t1 = (int(ends[p - 1]) if p else 0), int(ends[q - 1])
+                count = (na * nb)[t0:t1]
+                term = np.repeat(np.arange(t0, t1), count)
+                k = np.arange(len(term)) - np.repeat(np.cumsum(count) - count, count)
+                i, j = iv[ia[term] + k // nb[term]].astype(np.int64), dv[da[term] + k % nb[term]].astype(np.int64)
+                pair = np.searchsorted(ends, term, side="right")
+                rare = rare_term[term]
+                far = j + (pair - p) * (int(j.max()) + 8 * DRIFT + int(i.max()) + 2)  # pairs far apart: all of them at once
+                begins, anchor = _met(i, far, own_word[begin_of[item_of[pair]] + i])
+                anchor |= rare
+                near = np.flatnonzero(_near(i, far, i[anchor], far[anchor]))
+                edges, all_edges = np.searchsorted(pair[near], np.arange(p, q + 1)), np.searchsorted(pair, np.arange(p, q + 1))
+                for n in range(q - p):
+                    it = int(item_of[p + n])
+                    own = near[edges[n] : edges[n + 1]]
+                    # a stretch that counts has at least so many matches
+                    if len(own) >= MATCHED * min(STRETCH, WHOLE * size_of[it]):
+                        s = slice(all_edges[n], all_edges[n + 1])
+                        if row := judge(it, i[s], j[s], begins[s], _chains(i[own], j[own], rare[own])):
+                            out.append((p + n, *row))
+                p = q
+            rows = pa.array([r[0] for r in out], pa.int64())
+            columns = [pa.array([r[c] for r in out], t) for c, t in ((1, pa.float64()), (2, pa.int32()), (3, pa.bool_()), (4, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([whole.column("hash").take(rows), whole.column("item_id").take(rows), *columns], names=["hash", "item", "share", "longest", "exact", "run"])
+
+    found = both.mapInArrow(check, "hash binary, item bigint, share double, longest int, exact boolean, run int")
     ids = spark.createDataFrame(copies_of, "item bigint, item_id bigint")
     named = found.join(F.broadcast(ids), "item").drop("item")
     return copies.select("doc_id", "hash").distinct().join(named, "hash").select("doc_id", "item_id", "share", "longest", "exact", "run")
