@@ -43,10 +43,10 @@ def heavy_consumers(rows: DataFrame, consumer: str = "consumer", order: str = "i
     return written(per.filter(F.col("n") > BLOCK).select("__consumer", "__lo", F.expr(f"(hi - __lo) div ceil(n / {BLOCK}) + 1").cast("bigint").alias("__width")), "heavy")
 
 
-def in_blocks(rows: DataFrame, heavy: DataFrame, consumer: str = "consumer", order: str = "id") -> DataFrame:
-    """``rows`` with ``block``: 0, or for a consumer with many rows the part by arrival, of about BLOCK rows if these arrive evenly."""
+def in_blocks(rows: DataFrame, heavy: DataFrame, consumer: str = "consumer", order: str = "id", name: str = "block") -> DataFrame:
+    """``rows`` with a column ``name``: 0, or for a consumer with many rows the part by arrival, of about BLOCK rows if these arrive evenly."""
     out = rows.join(F.broadcast(heavy), F.col(consumer).eqNullSafe(F.col("__consumer")), "left")
-    return out.withColumn("block", F.coalesce(F.expr(f"({order} - __lo) div __width"), F.lit(0).cast("bigint"))).drop("__consumer", "__lo", "__width")
+    return out.withColumn(name, F.coalesce(F.expr(f"({order} - __lo) div __width"), F.lit(0).cast("bigint"))).drop("__consumer", "__lo", "__width")
 
 
 def _repeated(rows: DataFrame, known: DataFrame | None) -> DataFrame:
@@ -83,34 +83,14 @@ def _guards(steps: DataFrame, knots: DataFrame) -> tuple[DataFrame, DataFrame]:
     return at_knots.select(*key, "id", "event", "seq", "known", "aside", guard.alias("guard")), blocks.filter("carry IS NOT NULL")
 
 
-def settle(ticks: DataFrame, initial: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
-    """``ticks`` (id, event_id, consumer, meter_sequence and any others) with a column ``verdict``.
-
-    ``id`` is the unique order of arrival. Rows where a column named in ``ticks`` as units_drawn or cost is NULL cannot be
-    settled and are QUARANTINED without touching the guard. NULL events are events of their own, NULL consumers one
-    consumer, a NULL sequence counts as 0. To go on from an earlier ledger, ``initial`` (consumer, last_meter_sequence) seeds
-    the guard and ``known`` (event_id) names the events accepted before; a known event never changes the guard.
-    """
-    who = F.coalesce(F.col("consumer"), F.lit("\0"))
-    sequence = F.coalesce(F.col("meter_sequence"), F.lit(0)).cast("bigint")
-    event = F.coalesce(F.col("event_id"), F.concat(F.lit("\0"), F.col("id").cast("string")))
-    slim = ticks.select(F.col("id").cast("bigint").alias("id"), who.alias("consumer"), event.alias("event"), sequence.alias("seq"), _bad(ticks).alias("bad"))
-    good = slim.filter(~F.col("bad")).drop("bad")
-    heavy = heavy_consumers(good)
-    good = in_blocks(good, heavy)
+def _resolved(good: DataFrame, knots: DataFrame, early: DataFrame, seeds: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(consumer, block, id) of the knots that are duplicates, and the guard at each block's beginning (``carry``)."""
     key = ["consumer", "block"]
-    repeated = _repeated(good, known)
-    knots = repeated.filter("knot")
-    early = repeated.filter(~F.col("knot")).withColumn("nth", F.row_number().over(Window.partitionBy("event").orderBy("id"))).filter("nth > 1").select(*key, "id")
-
     none = F.lit(None)
     rows = good.select(*key, "id", "seq", none.cast("string").alias("mark"))
     marks = knots.select(*key, "id", "seq", F.lit("knot").alias("mark")).unionByName(early.select(*key, "id", none.cast("bigint").alias("seq"), F.lit("early").alias("mark")))
-    seeds = None
-    if initial is not None:
-        first = good.groupBy("consumer").agg(F.min("block").alias("block"))
-        seeds = initial.filter("last_meter_sequence IS NOT NULL").select(F.coalesce("consumer", F.lit("\0")).alias("consumer"), F.col("last_meter_sequence").cast("bigint").alias("seq")).join(first, "consumer")
-        rows = rows.unionByName(seeds.select(*key, F.lit(_BEFORE).alias("id"), "seq", none.cast("string").alias("mark")))
+    if seeds is not None:
+        rows = rows.unionByName(seeds.withColumn("mark", none.cast("string")))
     # a row's mark stands next to it: no join with the marks
     both = Window.partitionBy(*key).orderBy("id", F.col("mark").isNull())
     marked = rows.unionByName(marks).withColumn("own", F.when(F.lag("id").over(both) == F.col("id"), F.lag("mark").over(both)))
@@ -137,18 +117,48 @@ def settle(ticks: DataFrame, initial: DataFrame | None = None, known: DataFrame
         settled = not new.filter("changed").limit(1).count()
         state = new.drop("changed", "duplicate")
         if settled:
-            break
+            return new.filter("duplicate").select(*key, "id"), blocks
+
+
+def settle(ticks: DataFrame, initial: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+    """``ticks`` (id, event_id, consumer, meter_sequence and any others) with a column ``verdict``.
+
+    ``id`` is the unique order of arrival. Rows where a column named in ``ticks`` as units_drawn or cost is NULL cannot be
+    settled and are QUARANTINED without touching the guard. NULL events are events of their own, NULL consumers one
+    consumer, a NULL sequence counts as 0. To go on from an earlier ledger, ``initial`` (consumer, last_meter_sequence) seeds
+    the guard and ``known`` (event_id) names the events accepted before; a known event never changes the guard.
+    """
+    who = F.coalesce(F.col("consumer"), F.lit("\0"))
+    sequence = F.coalesce(F.col("meter_sequence"), F.lit(0)).cast("bigint")
+    event = F.coalesce(F.col("event_id"), F.concat(F.lit("\0"), F.col("id").cast("string")))
+    slim = ticks.select(F.col("id").cast("bigint").alias("id"), who.alias("consumer"), event.alias("event"), sequence.alias("seq"), _bad(ticks).alias("bad"))
+    good = slim.filter(~F.col("bad")).drop("bad")
+    heavy = heavy_consumers(good)
+    good = in_blocks(good, heavy)
+    key = ["consumer", "block"]
+    repeated = _repeated(good, known)
+    knots = repeated.filter("knot")
+    early = repeated.filter(~F.col("knot")).withColumn("nth", F.row_number().over(Window.partitionBy("event").orderBy("id"))).filter("nth > 1").select(*key, "id")
+
+    none = F.lit(None)
+    seeds = None
+    if initial is not None:
+        first = good.groupBy("consumer").agg(F.min("block").alias("block"))
+        seeds = initial.filter("last_meter_sequence IS NOT NULL").select(F.coalesce("consumer", F.lit("\0")).alias("consumer"), F.col("last_meter_sequence").cast("bigint").alias("seq")).join(first, "consumer").select(*key, F.lit(_BEFORE).alias("id"), "seq")
+    if knots.limit(1).count() or heavy.limit(1).count():
+        duplicates, begins = _resolved(good, knots, early, seeds)
+        duplicates = duplicates.unionByName(early)
+    else:  # every consumer is one block, and nothing but its own rows decides
+        duplicates, begins = early, None
 
     # every tick beside its mark and its block's beginning
-    duplicates = new.filter("duplicate").select(*key, "id").unionByName(early)
     empty = none.cast(ticks.schema)
     full = ticks.select(F.struct(*ticks.columns).alias("tick"), F.col("id").cast("bigint").alias("id"), who.alias("consumer"), F.when(~_bad(ticks), sequence).alias("seq"))
     full = in_blocks(full, heavy).withColumn("mark", F.lit(False))
     full = full.unionByName(duplicates.select(empty.alias("tick"), "id", "consumer", none.cast("bigint").alias("seq"), "block", F.lit(True).alias("mark")))
-    begins = blocks.select("consumer", "block", F.col("carry").alias("seq"))
-    if seeds is not None:
-        begins = begins.unionByName(seeds.select("consumer", "block", "seq"))
-    full = full.unionByName(begins.select(empty.alias("tick"), F.lit(_BEFORE).alias("id"), "consumer", "seq", "block", F.lit(False).alias("mark")))
+    for at_begin in (None if begins is None else begins.select(*key, F.col("carry").alias("seq")), seeds):
+        if at_begin is not None:
+            full = full.unionByName(at_begin.select(empty.alias("tick"), F.lit(_BEFORE).alias("id"), "consumer", "seq", "block", F.lit(False).alias("mark")))
     both = Window.partitionBy(*key).orderBy("id", F.desc("mark"))
     full = full.withColumn("duplicate", F.coalesce((F.lag("id").over(both) == F.col("id")) & F.lag("mark").over(both), F.lit(False))).filter(~F.col("mark"))
     full = full.withColumn("counts", F.when(~F.col("duplicate"), F.col("seq")))
@@ -167,15 +177,15 @@ def running_balance(accepted: DataFrame, initial: int, balances: DataFrame | Non
     """
     columns = [F.col(c) for c in accepted.columns]
     heavy = heavy_consumers(accepted)
-    rows = in_blocks(accepted, heavy)
-    per = rows.groupBy("consumer", "block").agg(F.sum(F.col("cost").cast("decimal(38,0)")).alias("spent")).join(F.broadcast(heavy), F.col("consumer").eqNullSafe(F.col("__consumer")), "left_semi")
-    earlier = Window.partitionBy("consumer").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select(F.col("consumer").alias("__c"), F.col("block").alias("__b"), F.coalesce(F.sum("spent").over(earlier), F.lit(0)).alias("__before"))  # of heavy consumers only
-    out = rows.join(F.broadcast(per), F.col("consumer").eqNullSafe(F.col("__c")) & (F.col("block") == F.col("__b")), "left")
+    rows = in_blocks(accepted, heavy, name="__block")
+    per = rows.groupBy("consumer", "__block").agg(F.sum(F.col("cost").cast("decimal(38,0)")).alias("spent")).join(F.broadcast(heavy), F.col("consumer").eqNullSafe(F.col("__consumer")), "left_semi")
+    earlier = Window.partitionBy("consumer").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(F.col("consumer").alias("__c"), F.col("__block").alias("__b"), F.coalesce(F.sum("spent").over(earlier), F.lit(0)).alias("__before"))  # of heavy consumers only
+    out = rows.join(F.broadcast(per), F.col("consumer").eqNullSafe(F.col("__c")) & (F.col("__block") == F.col("__b")), "left")
     begin = F.lit(initial).cast("decimal(38,0)")
     if balances is not None:
         out = out.join(balances.select(F.col("address").alias("__a"), F.col("escrow_balance").alias("__e")), F.col("consumer").eqNullSafe(F.col("__a")), "left")
         begin = F.coalesce(F.col("__e").cast("decimal(38,0)"), begin)
-    inside = Window.partitionBy("consumer", "block").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("consumer", "__block").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     balance = begin - F.coalesce("__before", F.lit(0)) - F.sum(F.col("cost").cast("decimal(38,0)")).over(inside)
     return out.select(*columns, balance.cast("decimal(38,0)").alias("balance"))
