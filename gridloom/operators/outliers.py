@@ -363,7 +363,11 @@ def implausible_rows(df: DataFrame, source: str, time: str, event: str, row: str
     """
     scan = scan_sources(df, source, time, event, row, metrics, drops)
     enough = scan.filter(F.col("kind") == TICKS).groupBy("source").agg(F.sum("n").alias("ticks")).filter(F.col("ticks") >= LEAST_TICKS).select("source")
-    peaks = scan.filter(F.col("kind") == CANDIDATE).select("source", "metric", "id", "r").join(tail_cutoffs(scan).select("source", "metric", "cut"), ["source", "metric"], "left")
+    cuts = written(tail_cutoffs(scan).select("source", "metric", "cut"), "cutoffs")
+    lowest = cuts.agg(F.min("cut")).first()[0]  # readings below every cutoff need not move
+    peaks = scan.filter(F.col("kind") == CANDIDATE).select("source", "metric", "id", "r")
+    peaks = peaks.filter((F.col("r") == float("inf")) | (F.col("r") > F.lit(lowest)))
+    peaks = peaks.join(cuts, ["source", "metric"], "left")
     impossible = F.col("r") == float("inf")
     reason = F.when(impossible, "impossible").when(F.col("metric") < len(metrics), "spike").otherwise("drop")
     peaks = peaks.filter(impossible | (F.col("r") > F.col("cut"))).select("source", "id", (F.col("metric") % len(metrics)).alias("metric"), reason.alias("reason"))
