@@ -140,7 +140,7 @@ class FrozenPPM:
         self.slots: list[_Slots] = []
         self.context_slots: list[_Slots] = []
         self.escapes: list[np.ndarray] = []
-        for k in range(order + 1):
+        for k in range(order + 1 if n else 0):
             own = [np.unique(g[k][k:], return_counts=True) for g in grams]
             keys = np.unique(np.concatenate([u for u, _ in own]))
             count = np.zeros((len(keys), n))
@@ -302,11 +302,12 @@ def train(samples: DataFrame, docs: DataFrame | None = None, text: str = "text",
     ``samples``: at most MAX_SAMPLES rows of MAX_CHARS characters, an error beyond. ``docs``: of the MAX_DOCUMENTS labelled
     rows with the smallest hash of their id (texts of up to MAX_TEXT characters) the first MAX_CHARS characters. Their labels may be wrong, so a first model from the samples
     alone must agree with a document's label, and of its sentences only those are taken that it doesn't hold for
-    another language by DOUBT bits or more. Only the fit is bounded; every document is labelled.
+    another language by DOUBT bits or more. Only the fit is bounded; every document is labelled. Without any checked
+    sample the model knows no language, and no text has segments.
     """
     checked = _labelled(samples, text, lang, MAX_SAMPLES)
     model = FrozenPPM(checked, order)
-    if docs is None:
+    if docs is None or not checked:
         return model
     named = docs.filter(F.col(lang).isNotNull() & (F.length(text) <= MAX_TEXT)).select(lang, text, F.xxhash64(doc_id, text).alias("h")).orderBy("h").limit(MAX_DOCUMENTS)
     read = [(label_code(r[0]), r[1]) for r in named.select(lang, text).collect()]
@@ -334,6 +335,8 @@ def language_segments(docs: DataFrame, model: FrozenPPM, doc_id: str = "doc_id",
     into sentences, so memory follows the longest text. NULL, blank and code-only texts have no segments; repeated ids
     give their own rows each; other columns are ignored.
     """
+    if not model.langs:
+        return docs.sparkSession.createDataFrame([], SEGMENT_SCHEMA)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few MB; MAX_CHARS bounds the fit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -91,6 +91,8 @@ def test_segments_and_found(spark):
     empty = docs.limit(0)
     assert G.language_segments(empty, model).count() == 0 and G.unnamed_languages(G.language_segments(empty, model)).count() == 0
     assert {r["found_lang"] for r in G.unnamed_languages(G.language_segments(docs.filter("doc_id = 1"), model)).collect()} == {"en"}  # no label column names nothing
+    none = G.train(samples.limit(0), docs)
+    assert none.langs == [] and G.language_segments(docs, none, lang="lang").count() == 0
     again = G.train(samples, docs)
     assert again.langs == ["de", "en"]
 
