@@ -94,13 +94,14 @@ def _resolved(good: DataFrame, knots: DataFrame, early: DataFrame, seeds: DataFr
     # a row's mark stands next to it: no join with the marks
     both = Window.partitionBy(*key).orderBy("id", F.col("mark").isNull())
     marked = rows.unionByName(marks).withColumn("own", F.when(F.lag("id").over(both) == F.col("id"), F.lag("mark").over(both)))
-    marked = marked.withColumn("part", F.count(F.when(F.col("mark") == "knot", 1)).over(both.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    plain = marked.filter(F.col("mark").isNull() & F.col("own").isNull())
-    stretch = Window.partitionBy(*key, "part").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    plain = plain.withColumn("segment", F.sum((F.col("seq") <= 0).cast("int")).over(stretch))
-    steps = plain.groupBy(*key, "part").agg(
-        (F.max("segment") > 0).alias("resets"),
-        F.max(F.struct("segment", "seq"))["seq"].alias("tail"),  # the maximum since the last reset
+    upto = both.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    plain = F.col("mark").isNull() & F.col("own").isNull()
+    marked = marked.withColumn("part", F.count(F.when(F.col("mark") == "knot", 1)).over(upto)).withColumn("segment", F.count(F.when(plain & (F.col("seq") <= 0), 1)).over(upto))
+    # one window gives the maximum since the last reset, as segments only grow
+    marked = marked.withColumn("since", F.max(F.when(plain, F.struct("segment", "seq"))).over(upto)["seq"])
+    steps = marked.filter(plain).groupBy(*key, "part").agg(
+        F.max(F.col("seq") <= 0).alias("resets"),
+        F.max_by("since", "id").alias("tail"),  # of use where there is a reset in this stretch
         F.max("seq").alias("top"),
         F.min("id").alias("id"),
     )
@@ -163,8 +164,11 @@ def settle(ticks: DataFrame, initial: DataFrame | None = None, known: DataFrame
     full = full.withColumn("duplicate", F.coalesce((F.lag("id").over(both) == F.col("id")) & F.lag("mark").over(both), F.lit(False))).filter(~F.col("mark"))
     full = full.withColumn("counts", F.when(~F.col("duplicate"), F.col("seq")))
     along = Window.partitionBy(*key).orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    full = full.withColumn("segment", F.sum(F.when(F.col("counts") <= 0, 1).otherwise(0)).over(along))
-    floor = F.max("counts").over(Window.partitionBy(*key, "segment").orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
+    full = full.withColumn("segment", F.count(F.when(F.col("counts") <= 0, 1)).over(along))
+    # the largest since the last reset: segments only grow, so it is the largest pair's
+    before = F.max(F.when(F.col("counts").isNotNull(), F.struct("segment", "counts"))).over(Window.partitionBy(*key).orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
+    full = full.withColumn("before", before)
+    floor = F.when(F.col("before.segment") == F.col("segment"), F.col("before.counts"))
     verdict = F.when(F.col("seq").isNull(), QUARANTINED).when(F.col("duplicate"), DUPLICATE).when((F.col("seq") > 0) & (F.col("seq") <= floor), REPLAY).otherwise(OK)
     return full.withColumn("verdict", verdict).filter(F.col("tick").isNotNull()).select("tick.*", "verdict")
 
