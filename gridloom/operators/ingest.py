@@ -9,7 +9,7 @@ from gridloom.functions import scalars as S
 from gridloom.functions.normalize import integer_text
 from gridloom.operators.settle import DUPLICATE, REPLAY, running_balance, settle
 from gridloom.shared import written
-from gridloom.schemas import DEFAULT_RATE, DEFAULT_RESOURCE, INITIAL_ESCROW
+from gridloom.schemas import ACKNOWLEDGED, DEFAULT_RATE, DEFAULT_RESOURCE, INITIAL_ESCROW
 
 NULL_FIELD = "null field"
 
@@ -103,4 +103,4 @@ def acknowledgements(outcomes: DataFrame, balances: DataFrame | None = None, ini
     """
     accepted = written(outcomes.filter(F.col("status") == 201), "accepted")
     rows = running_balance(accepted, initial, balances)
-    return rows.select("id", F.lit("ingested").alias("status"), "event_id", "consumer", "operator", F.col("cost").cast("string").alias("cost"), "meter_sequence", F.col("balance").cast("string").alias("escrow_balance"))
+    return rows.select("id", F.lit(ACKNOWLEDGED).alias("status"), "event_id", "consumer", "operator", F.col("cost").cast("string").alias("cost"), "meter_sequence", F.col("balance").cast("string").alias("escrow_balance"))

@@ -18,7 +18,7 @@ from gridloom.operators import state
 from gridloom.operators.settle import OK, settle
 from gridloom.shared import file_system, written
 
-BUCKETS = 64
+BUCKETS = 64  # of a new ledger by default: a look-up reads one, so they should follow the size that is expected
 _SCHEMAS = {
     "ticks": "id bigint, event_id string, consumer string, operator string, resource_type string, units_drawn bigint, cost decimal(38,0), meter_sequence bigint, time bigint",
     "rejected": "id bigint, event_id string, consumer string, meter_sequence bigint, verdict string",
@@ -29,15 +29,20 @@ _SCHEMAS = {
 _KEYS = {"ticks": "consumer", "rejected": "consumer", "consumers": "address", "operators": "address", "cursors": "key"}
 
 
-def _bucket(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
-
-
 class Ledger:
-    """The kept ledger at ``path`` (in a file system that all executors share)."""
+    """The kept ledger at ``path`` (in a file system that all executors share).
 
-    def __init__(self, spark: SparkSession, path: str):
+    ``buckets``: into how many parts a new ledger is hashed; an existing one keeps the number it began with.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
         self.spark, self.path = spark, path.rstrip("/")
+        fs, p = file_system(spark, f"{self.path}/buckets")
+        kept = [int(s.getPath().getName()) for s in fs.listStatus(p)] if fs.exists(p) else []
+        self.buckets = kept[0] if kept else buckets
+
+    def _bucket(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
 
     @property
     def version(self) -> int:
@@ -46,8 +51,10 @@ class Ledger:
         return max((int(s.getPath().getName()) for s in fs.listStatus(p)), default=0) if fs.exists(p) else 0
 
     def _commit(self, batch: int) -> None:
-        fs, p = file_system(self.spark, f"{self.path}/commits/{batch}")
-        fs.create(p, False).close()
+        for marker in (f"{self.path}/buckets/{self.buckets}", f"{self.path}/commits/{batch}"):
+            fs, p = file_system(self.spark, marker)
+            if not fs.exists(p):
+                fs.create(p, False).close()
 
     def _rows(self, table: str, upto: int | None = None) -> DataFrame:
         """All rows of committed batches, with ``batch`` and ``bucket``."""
@@ -61,7 +68,7 @@ class Ledger:
     def _write(self, df: DataFrame, table: str, batch: int) -> None:
         fields = T._parse_datatype_string(_SCHEMAS[table])
         key = _KEYS[table]
-        rows = df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in fields), _bucket(F.col(key)).alias("bucket"))
+        rows = df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in fields), self._bucket(F.col(key)).alias("bucket"))
         # whole buckets in few files; adaptive execution splits those of hot keys
         rows = rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", key, *(["id"] if "id" in df.columns else []))
         rows.write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/{table}/batch={batch}")
@@ -71,7 +78,7 @@ class Ledger:
         rows = self._rows(table, upto)
         name = _KEYS[table]
         if key is not None:
-            at = self.spark.range(1).select(_bucket(F.lit(key))).first()[0]
+            at = self.spark.range(1).select(self._bucket(F.lit(key))).first()[0]
             rows = rows.filter((F.col("bucket") == at) & (F.col(name) == key))
         rest = [f.name for f in T._parse_datatype_string(_SCHEMAS[table]) if f.name != name]
         newest = rows.groupBy(name).agg(F.max_by(F.struct(*rest), "batch").alias("row"))
@@ -147,7 +154,7 @@ class Ledger:
         return self._newest("operators", key=address)
 
     def _of(self, address: str) -> DataFrame:
-        at = self.spark.range(1).select(_bucket(F.lit(address))).first()[0]
+        at = self.spark.range(1).select(self._bucket(F.lit(address))).first()[0]
         return self._rows("ticks").filter((F.col("bucket") == at) & (F.col("consumer") == address)).drop("batch", "bucket")
 
     def history(self, address: str, limit: int | None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.ranking import numbered
-from gridloom.schemas import INITIAL_ESCROW
+from gridloom.schemas import FRAME_TYPE, INITIAL_ESCROW
 
 
 def _sum(c: str) -> Column:
@@ -145,4 +145,4 @@ def public_frame(ticks: DataFrame, time: str = "time") -> DataFrame:
 def frame_json(frames: DataFrame) -> DataFrame:
     """(event_id, frame): the frame as JSON text of {type, data}."""
     data = F.struct(*frames.columns)
-    return frames.select("event_id", F.to_json(F.struct(F.lit("UTIL_TICK").alias("type"), data.alias("data")), {"ignoreNullFields": "false"}).alias("frame"))
+    return frames.select("event_id", F.to_json(F.struct(F.lit(FRAME_TYPE).alias("type"), data.alias("data")), {"ignoreNullFields": "false"}).alias("frame"))

@@ -6,6 +6,8 @@ from pyspark.sql import types as T
 
 # Fixed values of the wire format and the ledger.
 TOPIC = "util_tick"
+FRAME_TYPE, GREETING_TYPE = "UTIL_TICK", "CONNECTED"
+ACKNOWLEDGED = "ingested"
 INITIAL_ESCROW = 10_000_000
 PAGE_LIMIT = 200
 HISTORY_DEFAULT, HISTORY_CAP = 50, 500

@@ -15,7 +15,7 @@ from gridloom.functions.normalize import integer_text
 from gridloom.operators.kept import Ledger
 from gridloom.operators.settle import OK
 from gridloom.operators.state import frame_json, public_frame
-from gridloom.schemas import PAGE_LIMIT
+from gridloom.schemas import GREETING_TYPE, PAGE_LIMIT
 from gridloom.sources.events import PollFn, decode_ticks, http_poll, page_params
 
 
@@ -28,7 +28,7 @@ class Listeners:
 
     def attach(self, name: str, send: Callable[[str], object]) -> None:
         """Add a listener; it is greeted with its name and the time."""
-        send(json.dumps({"type": "CONNECTED", "data": {"remote": name, "at": int(time.time())}}, separators=(",", ":")))
+        send(json.dumps({"type": GREETING_TYPE, "data": {"remote": name, "at": int(time.time())}}, separators=(",", ":")))
         with self._lock:
             self._send[name] = send
 

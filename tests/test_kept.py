@@ -27,7 +27,7 @@ def test_deliveries_settle_as_one(spark, tmp_path_factory, parts, cuts):
 
 def test_scenario_over_kept_state(spark, tmp_path):
     tick = lambda i, ev, units, cost, seq, ts: (i, ev, "GC1", "GO1", "SOLAR", units, cost, seq, ts)
-    ledger = kept.Ledger(spark, f"file://{tmp_path}/l")
+    ledger = kept.Ledger(spark, f"file://{tmp_path}/l", buckets=7)
     assert ledger.version == 0 and ledger.consumer("GC1").count() == 0 and ledger.ticks().count() == 0 and ledger.cursor("K:cursor") is None
     for n, (rows, verdict) in enumerate([([tick(1, "evt-1", 25, 25000, 1, 1000)], "OK"), ([tick(2, "evt-replay", 25, 25000, 1, 1001)], "REPLAY"), ([tick(3, "evt-1", 1, 1, 2, 1002)], "DUPLICATE_EVENT")]):
         assert ledger.append(spark.createDataFrame(rows, SCHEMA), {"K:cursor": f"c{n}"}).first()["verdict"] == verdict
@@ -40,6 +40,8 @@ def test_scenario_over_kept_state(spark, tmp_path):
     assert {(r[0], r[1], int(r[2]), int(r[3])) for r in ledger.operators().collect()} == {("GO1", "UNKNOWN", 7, 25_000), ("GO2", "GAS", 0, 0)}
     ledger.append(spark.createDataFrame([tick(4, "evt-4", 10, 10000, 2, 900)], SCHEMA))
     assert tuple(map(str, ledger.operator("GO1").first())) == ("GO1", "SOLAR", "7", "35000")
+    ledger = kept.Ledger(spark, f"file://{tmp_path}/l")  # opened again: it keeps its number of buckets
+    assert ledger.buckets == 7
     full = ledger.detail("GC1", 50).first()
     assert int(full["escrow_balance"]) == 9_965_000 and [h["event_id"] for h in full["history"]] == ["evt-4", "evt-1"]
     assert ledger.detail("GDOES_NOT_EXIST", 50).count() == 0 and [r["event_id"] for r in ledger.history("GC1", 1).collect()] == ["evt-4"]
